@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, records, simhash
+from . import mixing, records, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_suffix": suffix_dedup.op2_suffix,
+        "op6_substring": substring_dedup.op6_substring,
         "op8_simhash": simhash.op8_simhash,
         "op10_records": records.op10_records,
     }
