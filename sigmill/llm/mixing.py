@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize
+from .common import WORD, documents, materialize, row_key
 
 
 def word_count(text: str = "text"):
@@ -130,5 +130,20 @@ def mix_sources(
     return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
 
 
+def draw(docs: DataFrame, **how) -> DataFrame:
+    """Rows of ``docs``, all columns, each as often as the mix takes it.
+
+    The words taken of a document, over its size, are rounded to whole copies:
+    0, 1 or 2 rows. Rows without words have nothing to take and go. Repeated
+    rows share what is taken of them evenly.
+    """
+    source = F.coalesce("source", F.lit("")), F.col("source").isNull()
+    own = docs.withColumn("_key", F.xxhash64(row_key("doc_id", "text"), *source))
+    mixed = mix_sources(own.select(F.col("_key").alias("doc_id"), "text", "source"), **how)
+    times = mixed.groupBy(F.col("doc_id").alias("_key")).agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("_times"))
+    times = materialize(times.where("_times > 0"), "mix-times")
+    return own.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
 def op1_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir), block_words=16).drop("source")

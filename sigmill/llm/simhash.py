@@ -244,6 +244,13 @@ def links(fps: DataFrame, threshold: int) -> DataFrame:
     return laid.mapInArrow(run, "u long, v long")
 
 
+def _roots(rows: DataFrame, threshold: int) -> DataFrame:
+    """fp, root and how many rows have it, for each fingerprint of ``rows``."""
+    own = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
+    found = materialize(components(links(own, threshold)).withColumnRenamed("node", "fp"), "simhash-components")
+    return own.join(found, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) -> DataFrame:
     """Fingerprint and component of every row of ``docs`` (doc_id, text).
 
@@ -258,13 +265,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) ->
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    own = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
-    found = materialize(components(links(own, threshold)).withColumnRenamed("node", "fp"), "simhash-components")
-    rooted = own.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(rows, threshold)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 5) -> DataFrame:
+    """Rows of ``docs``, all columns, without all but one of each near-duplicate group.
+
+    Groups are the components of ``near_duplicates``. The smallest doc_id of a
+    group stays (a null one only if there is no other; among rows that share
+    it the one with the least hash, once). Rows without words form a group.
+    """
+    rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
+    rooted = materialize(_roots(rows, threshold).select("fp", "root"), "simhash-roots")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
+    first = rows.groupBy("fp").agg(best.alias("first")).join(rooted, "fp")
+    stay = materialize(first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key")), "simhash-stay")
+    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(stay, "_key")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+
+
 def op8_simhash(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
