@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,10 @@ def migrate_lineage(trials: DataFrame, patterns: list[str], bucket: str = "legac
     """Lineages that match a pattern (with * for anything) move to one bucket."""
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.col("lineage_id").rlike("^" + ".*".join(F_escape(x) for x in p.split("*")) + "$")
+        hit = hit | F.col("lineage_id").rlike("^" + ".*".join(re.escape(x) for x in p.split("*")) + "$")
     return trials.withColumn("lineage_id", F.when(hit, F.lit(bucket)).otherwise(F.col("lineage_id")))
 
 
-def F_escape(text: str) -> str:
-    import re
-
-    return re.escape(text)
-
-
 def archive(trials: DataFrame, before: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, archived) by evaluation time; write both, then swap."""
     old = F.col("evaluated_at") < before

@@ -11,7 +11,7 @@ PRICES = ("open", "high", "low", "close", "volume", "quote_volume")
 
 
 def quality_checks(bars: DataFrame, interval: int, keys=fr.KEYS) -> DataFrame:
-    """One row a key and check: check, count, ratio, status.
+    """One row a key and check: check_name, count, ratio, status.
 
     Negative values and broken high/low ordering fail; duplicates, gaps, many
     zero volumes and large jumps warn.
@@ -34,11 +34,11 @@ def quality_checks(bars: DataFrame, interval: int, keys=fr.KEYS) -> DataFrame:
     counts = {n: F.count_if(F.col(n)) for n in names if n != "ohlc_invariant"}
     counts["ohlc_invariant"] = F.count_if("high_too_low") + F.count_if("low_too_high")
     per = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[counts[n].alias(n) for n in names])
-    long = per.unpivot([*keys, "rows"], names, "check", "count")
+    long = per.unpivot([*keys, "rows"], names, "check_name", "count")
     ratio = F.col("count") / F.col("rows")
-    bad = F.when(F.col("check").isin("negative_values", "ohlc_invariant"), F.lit("fail")).otherwise(F.lit("warn"))
-    over = F.when(F.col("check") == "zero_volume", ratio > 0.01).otherwise(F.col("count") > 0)
-    return long.select(*keys, "check", "count", ratio.alias("ratio"), F.when(over, bad).otherwise(F.lit("pass")).alias("status"))
+    bad = F.when(F.col("check_name").isin("negative_values", "ohlc_invariant"), F.lit("fail")).otherwise(F.lit("warn"))
+    over = F.when(F.col("check_name") == "zero_volume", ratio > 0.01).otherwise(F.col("count") > 0)
+    return long.select(*keys, "check_name", "count", ratio.alias("ratio"), F.when(over, bad).otherwise(F.lit("pass")).alias("status"))
 
 
 def with_position(df: DataFrame, keys=fr.KEYS) -> DataFrame:
