@@ -154,7 +154,7 @@ def prepare(signals: DataFrame, bars: DataFrame, sizing: Sizing, side: str = "bo
     b = b.withColumn("_known", F.lag("open_return", 2).over(at))
     vol = fr.std(F.col("_known"), sizing.window, fr.trailing(sizing.window, ("symbol",)), sizing.least_rows) * F.lit(bars_per_year(sizing.interval) ** 0.5)
     b = b.withColumn("_vol", vol)
-    b = b.withColumn("leverage", F.coalesce(F.least(fr.divide(F.lit(sizing.target_vol), F.when(F.col("_vol") > 0, F.col("_vol"))), F.lit(sizing.most_leverage)), F.lit(0.0)))
+    b = b.withColumn("leverage", F.coalesce(fr.clip(fr.divide(F.lit(sizing.target_vol), F.when(F.col("_vol") > 0, F.col("_vol"))), 0.0, sizing.most_leverage), F.lit(0.0)))
     low, high = (0.0 if side == "long_only" else -1.0), (0.0 if side == "short_only" else 1.0)
     s = F.coalesce(fr.clip(F.col("signal"), low, high), F.lit(0.0))
     joined = b.drop("_known", "_vol").join(signals.select("candidate_id", "symbol", fr.TIME, s.alias("signal")), ["symbol", fr.TIME])
