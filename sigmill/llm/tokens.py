@@ -1,75 +1,132 @@
 """Token ids of whole texts with a bounded memo of text pieces.
 
-A text falls apart at places where no token can reach across, so pieces that
-came before are looked up instead of being encoded again. Ids are those of
-``tokenizers`` on the whole text.
+A text falls apart at places where no token can reach across, so a piece that
+came before is looked up instead of being encoded again. New pieces are
+encoded by ``tokenizers``: plain ones go straight to its model, all others
+through its whole chain. Ids are those of ``tokenizers`` on the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
-#: A space with white space on both sides; such runs are encoded as a whole.
+#: A space with white space on both sides; such texts are encoded as a whole.
 _BLANKS = re.compile(r"\s \s")
+#: Pieces with other characters are left to the library's own splitting.
+_PLAIN = re.compile("[\\x20-\\x7e\\n\\xa1-\\xac\\xae-ɏ]*").fullmatch
+#: The splitting rule that byte-level vocabularies use where their file names none.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones as themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """Number of each piece; a new one is noted and numbered."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, piece):
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 class Encoder:
-    """``spaces``: the vocabulary keeps spaces (byte-level) or drops them."""
+    """``spaces``: the vocabulary keeps spaces (byte-level) or drops them and case."""
 
-    def __init__(self, path: str, spaces: bool, most: int = 300_000):
+    def __init__(self, path: str, spaces: bool, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.spaces, self.most = Tokenizer.from_file(path), spaces, most
+        plan = json.loads(self.model.to_str())["pre_tokenizer"]
+        named = [x["pattern"]["Regex"] for x in plan.get("pretokenizers", []) if "pattern" in x]
+        self.split = regex.compile(named[0] if named else _BYTE_LEVEL).findall
+        self.bpe, self.alphabet = self.model.model, _byte_alphabet()
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str | bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.place, self.part = _Memo(), {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _pieces(self, text: str) -> list:
         if not self.spaces:
-            return text.encode().split()  # at ASCII white space only
+            return text.encode().lower().split()  # at ASCII white space only; case is dropped anyway
         if _BLANKS.search(text):
             return [text]
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def _learn(self, new: list) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            plain = part if self.spaces else [x.decode() for x in part]
-            got = [x.ids for x in self.model.encode_batch(plain, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-            n = len(self.place)
-            while n + len(part) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n : n + len(part)] = lengths
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.place.update(zip(part, range(n, n + len(part))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _whole(self, piece: str) -> list[int]:
+        return self.model.encode(piece, add_special_tokens=False).ids
+
+    def _encode(self, piece) -> list[int]:
+        text = piece if self.spaces else piece.decode()
+        if "<|" in text or not _PLAIN(text):
+            return self._whole(text)
+        if not self.spaces and text.lower() != text:
+            text = text.lower()
+        parts = self.split(text)
+        if len(parts) == 1 and len(parts[0]) == len(text):
+            return self._part(text)
+        out: list[int] = []
+        for p in parts:
+            got = self.part.get(p)
+            if got is None:
+                got = self._part(p)
+                if len(p) < 4:
+                    self.part[p] = got
+            out += got
+        return out
+
+    def _part(self, text: str) -> list[int]:
+        shown = text.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.bpe.tokenize(shown)]
+
+    def _learn(self) -> None:
+        new, self.place.new = self.place.new, []
+        if not new:
+            return
+        got = [self._encode(p) for p in new]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
+        n = len(self.place) - len(new)
+        while len(self.place) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(new)] = lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of every text; None counts as empty."""
         if len(self.place) > self.most:
             self._forget()
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        new = set().union(*pieces).difference(self.place) if pieces else set()
-        self._learn(sorted(new))
-        out = []
-        for p in pieces:
-            at = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
-            length = self.length[at]
-            end = np.cumsum(length)
-            total = int(end[-1]) if len(end) else 0
-            out.append(self.ids[np.repeat(self.start[at] - (end - length), length) + np.arange(total)])
-        return out
+        look = self.place.__getitem__
+        places: list[int] = []
+        ends = []
+        for t in texts:
+            if t:
+                places += map(look, self._pieces(t))
+            ends.append(len(places))
+        self._learn()
+        at = np.array(places, np.int64)
+        length = self.length[at]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        flat = self.ids[np.repeat(self.start[at] - upto[:-1], length) + np.arange(upto[-1])]
+        cuts = upto[np.array(ends, np.int64)].tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
