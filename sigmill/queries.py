@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions import frames as fr
-from sigmill.operators import indicators, inference, joins, ledger, panel, quality, regime, rules, search, signals, simulate
-from sigmill.plans import expr
+from sigmill.operators import evidence, indicators, inference, joins, ledger, panel, quality, regime, rules, search, signals, simulate
+from sigmill.plans import expr, methods
 from sigmill.sources import bars as src
 
 DIGITS = 6
@@ -740,3 +740,15 @@ def set_operations(spark, sf_dir):
     return a.intersect(table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
 
 
+
+
+@register("method_registry")
+def method_registry(spark, sf_dir):
+    return methods.registry(spark)
+
+
+@register("evidence_report")
+def evidence_report(spark, sf_dir):
+    p = simulate.backtest(two_signals(spark, sf_dir), hourly(spark, sf_dir), sizing=simulate.Sizing(interval="1h"))
+    columns = ("max_abs_ic", "max_abs_rankic", "max_abs_spread", "best_horizon", "decay_quality", "net_sharpe", "gross_sharpe")
+    return shown(evidence.report(p, horizons=(1, 6), year=8760.0), *columns, keys=_ONE)
