@@ -24,8 +24,8 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays."""
-    return keep_one(docs, shingle=5, threshold=5)
+    """One document of each group with a similarity of 0.8 or more stays."""
+    return keep_one(docs, shingle=5, threshold=8, similarity=0.8)
 
 
 def cut_repeats(spark, docs, sf_dir):

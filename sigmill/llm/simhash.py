@@ -116,7 +116,7 @@ def choose_cover(n: int, threshold: int) -> tuple[list[int], list[Cover]]:
     that plain bits replace Hamming blocks, which makes anchors finer. This
     changes cost only: every choice finds all pairs.
     """
-    sizes = [21, 21, 22] if threshold < 6 else [32, 32]
+    sizes = [21, 21, 22]
     within = threshold // len(sizes)
     codes = 3 if n < 1 << 18 else 2 if n < 1 << 21 else 1 if n < 1 << 24 else 0
     return [sum(sizes[:i]) for i in range(len(sizes))], [Cover(s, codes, within) for s in sizes]
@@ -159,28 +159,26 @@ def replicate(fps: DataFrame, starts: list[int], covers: list[Cover]) -> DataFra
 def link_group(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Edges that join what is linked in one anchor's group: at most one per member.
 
-    Homes are compared with all members in blocks; union-find keeps the edges
-    that join something new.
+    Homes are compared with all members in blocks; a home is joined once to
+    each set it is not yet in, by that set's nearest member.
     """
-    parent = list(range(len(fp)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(fp))
     edges, mine = [], np.flatnonzero(home)
     block = max(1, (1 << 20) // max(1, len(fp)))
     for lo in range(0, len(mine), block):
         some = mine[lo : lo + block]
-        close = np.bitwise_count(fp[some][:, None] ^ fp[None, :]) <= threshold
-        close[np.arange(len(some)), some] = False
-        for i, j in zip(*np.nonzero(close)):
-            a, b = root(int(some[i])), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((int(some[i]), int(j)))
+        apart = np.bitwise_count(fp[some][:, None] ^ fp[None, :])
+        apart[np.arange(len(some)), some] = 255
+        for k in np.flatnonzero((apart <= threshold).any(axis=1)):
+            i = int(some[k])
+            close = np.flatnonzero(apart[k] <= threshold)
+            close = close[np.argsort(apart[k][close], kind="stable")]
+            roots, first = np.unique(label[close], return_index=True)
+            for root, j in zip(roots, close[first]):
+                if root != label[i]:
+                    a, b = sorted((int(root), int(label[i])))
+                    label[label == b] = a
+                    edges.append((i, int(j)))
     return edges
 
 
@@ -244,13 +242,45 @@ def links(fps: DataFrame, threshold: int) -> DataFrame:
     return laid.mapInArrow(run, "u long, v long")
 
 
-def _roots(rows: DataFrame, threshold: int) -> DataFrame:
-    """fp, root and how many rows have it, for each fingerprint of ``rows``."""
-    own = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
-    found = materialize(components(links(own, threshold)).withColumnRenamed("node", "fp"), "simhash-components")
+def distinct(rows: DataFrame) -> DataFrame:
+    """fp, least doc_id, copies and the key of one row for each fingerprint of ``rows``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
+    g = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), first.alias("first"))
+    return materialize(g.select("fp", "least", "copies", F.col("first.key").alias("key")), "simhash-distinct")
+
+
+def _roots(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, least, copies and root for each fingerprint of ``own``."""
+    found = materialize(components(edges).withColumnRenamed("node", "fp"), "simhash-components")
     return own.join(found, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
 
 
+def similar(docs: DataFrame, own: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose texts (one for each fingerprint) have that Jaccard similarity of word shingles."""
+    nodes = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
+    wanted = materialize(nodes.join(own.select("fp", "key"), "fp"), "simhash-wanted")
+
+    def run(batches):
+        for b in batches:
+            sets = [sorted(shingles(t, shingle)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+
+    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("fp", "text")
+    sets = materialize(texts.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"]), "simhash-sets")
+    both = edges.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def shingles(text: str | None, shingle: int) -> set[int]:
+    """Hashes (signed) of the distinct word shingles."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return set()
+    runs = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    return set(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64).view(np.int64).tolist())
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) -> DataFrame:
     """Fingerprint and component of every row of ``docs`` (doc_id, text).
 
@@ -265,21 +295,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) ->
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    rooted = _roots(rows, threshold)
+    own = distinct(rows)
+    rooted = _roots(own, links(own, threshold))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 8, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, without all but one of each near-duplicate group.
 
-    Groups are the components of ``near_duplicates``. The smallest doc_id of a
+    Fingerprints within ``threshold`` bits are candidates; they link if their
+    texts have a Jaccard similarity of word shingles of ``similarity`` or
+    more. Equal fingerprints are linked as they are. The smallest doc_id of a
     group stays (a null one only if there is no other; among rows that share
     it the one with the least hash, once). Rows without words form a group.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    rooted = materialize(_roots(rows, threshold).select("fp", "root"), "simhash-roots")
+    own = distinct(rows)
+    edges = materialize(links(own, threshold).distinct(), "simhash-links")
+    rooted = materialize(_roots(own, similar(docs, own, edges, shingle, similarity)).select("fp", "root"), "simhash-roots")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
     first = rows.groupBy("fp").agg(best.alias("first")).join(rooted, "fp")
     stay = materialize(first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key")), "simhash-stay")

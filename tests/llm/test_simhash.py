@@ -88,3 +88,45 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string")
     assert sorted((x.doc_id, x.source) for x in simhash.keep_one(df).collect()) == [(1, "s"), (5, "s"), (9, "s")]
     assert simhash.keep_one(df.where(F.lit(False))).count() == 0 and simhash.near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_only_similar_texts_are_dropped(spark):
+    """What goes is what is similar to something that stays, or linked to it by similar texts."""
+    r = random.Random(11)
+    pool = [f"w{i}" for i in range(900)]
+    rows = []
+    for _ in range(40):
+        w = [r.choice(pool) for _ in range(120)]
+        rows.append(" ".join(w))
+        for edits in (1, 2, 6):
+            v = list(w)
+            for k in range(edits):
+                v[(k * 17 + 3) % 120] = f"new{r.random()}"
+            rows.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.keep_one(df).collect()}
+    sets = [simhash.shingles(t, 5) for t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    for k in set(range(len(rows))) - kept:
+        assert any(alike(k, j) for j in range(len(rows)) if j != k)
+    for base in range(0, len(rows), 4):
+        assert base in kept and base + 3 in kept
+    assert sum(k % 4 in (1, 2) for k in kept) <= 12
+
+
+def test_link_group_spans_what_is_linked():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(r.integers(2, 60))
+        centre = r.integers(0, 1 << 62, 3, dtype=np.uint64)
+        fp = np.unique(centre[r.integers(0, 3, n)] ^ (np.uint64(1) << r.integers(0, 9, n).astype(np.uint64)))
+        edges = simhash.link_group(fp, np.ones(len(fp), bool), 4)
+        part = list(range(len(fp)))
+        for a, b in edges:
+            assert int(fp[a] ^ fp[b]).bit_count() <= 4
+            part = [part[a] if x == part[b] else x for x in part]
+        for i in range(len(fp)):
+            for j in range(i):
+                if int(fp[i] ^ fp[j]).bit_count() <= 4:
+                    assert part[i] == part[j]
+        assert len(edges) == len(fp) - len(set(part))
