@@ -15,8 +15,10 @@ import re
 import numpy as np
 import regex
 
-#: A space with white space on both sides; such texts are encoded as a whole.
-_BLANKS = re.compile(r"\s \s")
+#: Runs of white space that reach across pieces; such texts are encoded as a whole.
+_BLANKS = re.compile(r"\s\s(?:\s|\Z)")
+#: Marks a piece without a space before it (a text that holds it is encoded as a whole).
+_BARE = "\x01"
 #: Pieces with other characters are left to the library's own splitting.
 _PLAIN = re.compile("[\\x20-\\x7e\\n\\xa1-\\xac\\xae-ɏ]*").fullmatch
 #: The splitting rule that byte-level vocabularies use where their file names none.
@@ -30,15 +32,21 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_STOPS = frozenset(".,")
+
+
 class _Memo(dict):
-    """Number of each piece; a new one is noted and numbered."""
+    """Number of each piece; a new one is noted and numbered, and kept unless it is long."""
 
     def __init__(self):
         self.new: list = []
+        self.count = 0
 
     def __missing__(self, piece):
-        n = self[piece] = len(self)
+        n, self.count = self.count, self.count + 1
         self.new.append(piece)
+        if len(piece) <= 64:
+            self[piece] = n
         return n
 
 
@@ -64,16 +72,27 @@ class Encoder:
     def _pieces(self, text: str) -> list:
         if not self.spaces:
             return text.encode().lower().split()  # at ASCII white space only; case is dropped anyway
-        if _BLANKS.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        if "<|" in text or _BARE in text or _BLANKS.search(text):
+            return [_BARE + text]
+        return (_BARE + text.replace("\n", f" \n {_BARE}")).split(" ")
 
     def _whole(self, piece: str) -> list[int]:
         return self.model.encode(piece, add_special_tokens=False).ids
 
     def _encode(self, piece) -> list[int]:
-        text = piece if self.spaces else piece.decode()
+        if not self.spaces:
+            text = piece.decode()
+        elif piece[:1] == _BARE:
+            text = piece[1:]
+        else:
+            text = piece if piece == "\n" else " " + piece
+        if not text:
+            return []
+        stop = text[-1] if text[-1] in _STOPS else ""
+        word = text[: len(text) - len(stop)]
+        letters = word[1:] if self.spaces and word[:1] == " " else word
+        if letters.isalpha() and _PLAIN(letters) and (self.spaces or letters == letters.lower()):
+            return self._part(word) + (self._stop(stop) if stop else [])
         if "<|" in text or not _PLAIN(text):
             return self._whole(text)
         if not self.spaces and text.lower() != text:
@@ -91,6 +110,11 @@ class Encoder:
             out += got
         return out
 
+    def _stop(self, text: str) -> list[int]:
+        if text not in self.part:
+            self.part[text] = self._part(text)
+        return self.part[text]
+
     def _part(self, text: str) -> list[int]:
         shown = text.encode().decode("latin-1").translate(self.alphabet)
         return [t.id for t in self.bpe.tokenize(shown)]
@@ -102,8 +126,8 @@ class Encoder:
         got = [self._encode(p) for p in new]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-        n = len(self.place) - len(new)
-        while len(self.place) > len(self.start):
+        n = self.place.count - len(new)
+        while self.place.count > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
@@ -114,7 +138,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of every text; None counts as empty."""
-        if len(self.place) > self.most:
+        if self.place.count > self.most:
             self._forget()
         look = self.place.__getitem__
         places: list[int] = []
