@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, scratch_path
+from .common import documents, scratch_path
 from .tokens import Encoder
 
 _HEAD = struct.Struct("<QI")
@@ -69,7 +69,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool, e
     if files is None:  # about 16 MB of text a file
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-size // (16 << 20)))
-    laid = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    laid = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encoded(batches):
         model = None
@@ -91,16 +91,23 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, path: str, index: str) -> None:
-    """Write ``index`` (Parquet): file, offset, doc_id, n_tokens per record."""
+    """Read the files, check every record, and write ``index`` (Parquet).
+
+    Per record: file, offset, doc_id, before (ids of earlier records of its
+    file), n_tokens, ids_crc32 (of the ids as 32-bit integers).
+    """
+    names = ["file", "offset", "doc_id", "before", "n_tokens", "ids_crc32"]
 
     def listed(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = [(at, k, len(i)) for at, k, i in frames(data.as_py())]
-                at, k, n = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["file", "offset", "doc_id", "n_tokens"])
+                rows = [(at, k, len(i), zlib.crc32(i.astype("<u4").tobytes())) for at, k, i in frames(data.as_py())]
+                at, k, n, c = zip(*rows) if rows else ((), (), (), ())
+                before = np.cumsum(n, dtype=np.int64) - np.array(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), *[pa.array(x, pa.int64()) for x in (at, k, before, n, c)]], names)
 
-    _files(spark, path).select("path", "content").mapInArrow(listed, "file string, offset long, doc_id long, n_tokens long").write.parquet(index)
+    rows = _files(spark, path).select("path", "content").mapInArrow(listed, "file string, offset long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows.write.parquet(index)
 
 
 def read_records(spark: SparkSession, path: str, index: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -125,23 +132,14 @@ def read_records(spark: SparkSession, path: str, index: str, wanted: DataFrame |
     return content.select("file", "content", "offsets").mapInArrow(decoded, "file string, offset long, doc_id long, ids array<long>")
 
 
-def record_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per record, from the files: doc_id, start, n_tokens, ids_crc32.
+def record_digests(spark: SparkSession, index: str) -> DataFrame:
+    """Per record, as read back from the files: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all records before it, in file order (files are
     named in doc_id order). Files are few, one for about 16 MB of text, and
     only their totals pass through one task.
     """
-
-    def digested(batches):
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = [(k, len(i), zlib.crc32(i.astype("<u4").tobytes())) for _, k, i in frames(data.as_py())]
-                k, n, c = zip(*rows) if rows else ((), (), ())
-                before = np.cumsum(n, dtype=np.int64) - np.array(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(k, pa.int64()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["file", "doc_id", "before", "n_tokens", "ids_crc32"])
-
-    rows = materialize(_files(spark, path).select("path", "content").mapInArrow(digested, "file string, doc_id long, before long, n_tokens long, ids_crc32 long"), "record-digests")
+    rows = spark.read.parquet(index)
     name = F.element_at(F.split("file", "/"), -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     order = Window.partitionBy(F.lit(0)).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
@@ -154,5 +152,6 @@ def op10_records(spark, sf_dir):
 
     path = scratch_path(spark, "records")
     write_records(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), spaces=False, end_id=1)
-    build_index(spark, path, scratch_path(spark, "records-index"))
-    return record_digests(spark, path)
+    index = scratch_path(spark, "records-index")
+    build_index(spark, path, index)
+    return record_digests(spark, index)
