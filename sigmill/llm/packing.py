@@ -14,7 +14,7 @@ from .common import documents, materialize, row_key
 from .tokens import Encoder
 
 #: Pieces that one task packs together. Each group wastes less than a bin.
-GROUP = 1 << 14
+GROUP = 1 << 13
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
