@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.ORACLE}
+    return {"op2_suffix": suffix_dedup.ORACLE, "op3_topk": topk.ORACLE, "op6_substring": substring_dedup.ORACLE}

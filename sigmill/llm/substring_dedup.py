@@ -137,3 +137,17 @@ def remove_passages(docs: DataFrame, *, words: int = 50, keep: tuple[str, ...] =
 
 def op6_substring(spark, sf_dir):
     return remove_passages(documents(spark, sf_dir)).drop("kept_text")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50 AND doc_id IS NOT NULL),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT k.doc_id, k.i FROM k JOIN m ON k.h = m.h WHERE k.doc_id > m.least),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM r),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w WHERE doc_id IN (SELECT doc_id FROM c)),
+t AS (SELECT e.doc_id, count(*) AS n_words, count(c.j) AS n_removed, coalesce(string_agg(CASE WHEN c.j IS NULL THEN e.word END, ' ' ORDER BY e.j), '') AS kept FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.j = c.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, array_to_string(w.ws, ' '))) AS kept_sha256
+FROM w LEFT JOIN t ON w.doc_id = t.doc_id
+"""

@@ -184,3 +184,19 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep: tuple[str, ...]
 
 def op2_suffix(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM w WHERE len(x) >= 400),
+k AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM p),
+m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+r AS (SELECT k.doc_id, k.i, lag(k.i) OVER (PARTITION BY k.doc_id ORDER BY k.i) AS before FROM k SEMI JOIN m ON k.h = m.h),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+t AS (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM s),
+kept AS (SELECT t.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(w.x, CAST(2 * coalesce(prev, 0) + 1 AS BIGINT), CAST(2 * (a - coalesce(prev, 0)) AS BIGINT)), '' ORDER BY a) AS head FROM t JOIN w ON t.doc_id = w.doc_id GROUP BY 1)
+SELECT w.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE head || substr(x, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
