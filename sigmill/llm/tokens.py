@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import regex
@@ -119,13 +120,31 @@ class Encoder:
         shown = text.encode().decode("latin-1").translate(self.alphabet)
         return [t.id for t in self.bpe.tokenize(shown)]
 
+    def _encode_all(self, new: list) -> list[list[int]]:
+        """Ids of pieces; words of ASCII letters, with or without a stop, need no splitting and no byte mapping."""
+        bpe, lead = self.bpe.tokenize, self.alphabet[32] if self.spaces else ""
+        stops = {mark: self._stop(mark) for mark in _STOPS}
+        out = []
+        for piece in new:
+            word, stop = piece, None
+            if not piece.isalpha():
+                last = piece[-1:] if self.spaces else piece[-1:].decode("latin-1")
+                if (stop := stops.get(last)) is not None:
+                    word = piece[:-1]
+            if word.isalpha() and word.isascii():
+                ids = [t.id for t in bpe(lead + (word if self.spaces else word.decode()))]
+                out.append(ids + stop if stop else ids)
+            else:
+                out.append(self._encode(piece))
+        return out
+
     def _learn(self) -> None:
         new, self.place.new = self.place.new, []
         if not new:
             return
-        got = [self._encode(p) for p in new]
+        got = self._encode_all(new)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
         n = self.place.count - len(new)
         while self.place.count > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
