@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, row_key
+from .common import WORD, documents, materialize
 
 
 def word_count(text: str = "text"):
@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return s.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "docs", "weight", "target")
 
 
-def mix_sources(
+def _mixed(
     docs: DataFrame,
     *,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -76,23 +76,7 @@ def mix_sources(
     most_shards: int = 1 << 16,
     seed: int = 17,
 ) -> DataFrame:
-    """How many words of every document a weighted mix of the sources takes.
-
-    ``docs`` needs doc_id, text and source. A source's documents are dealt by
-    a seeded hash to shards of about ``shard_words`` words, so a hot source is
-    many shards, and lie there end to end in seeded order; each shard is cut
-    into blocks of ``block_words`` words. Blocks are allotted to sources and
-    on to shards as integer quotas; a quota of q over b blocks takes every
-    block q // b times and q % b of them once more, spread evenly from a
-    seeded start. A document takes what the blocks over it take.
-
-    Nulls: a null text has size 0 and takes 0; a null source is a source of
-    its own, last in order; a null doc_id is hashed like any other. Repeated
-    rows are separate rows. Empty input gives no rows. Other columns of
-    ``docs`` are not looked at.
-
-    Returns doc_id, source, size, source_size, target, taken.
-    """
+    """What ``mix_sources`` returns, with h (the seeded hash) and the shard of every row."""
     sizes = materialize(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "mix-sizes")
     source = materialize(targets(sizes, weights, share, most), "mix-sources")
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
@@ -127,22 +111,53 @@ def mix_sources(
     one = lambda k: takes(k, k + 1)
     inside = F.when(lo == hi, F.col("size") * one(lo)).otherwise(((lo + 1) * b - F.col("start")) * one(lo) + b * takes(lo + 1, hi) + (F.col("end") - hi * b) * one(hi))
     taken = F.when((F.col("size") > 0) & (F.col("blocks") > 0), inside).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), "h", "shard")
+
+
+def mix_sources(docs: DataFrame, **how) -> DataFrame:
+    """How many words of every document a weighted mix of the sources takes.
+
+    ``how`` goes to ``_mixed``; ``docs`` needs doc_id, text and source. A
+    source's documents are dealt by a seeded hash to shards of about ``shard_words`` words, so a hot source is
+    many shards, and lie there end to end in seeded order; each shard is cut
+    into blocks of ``block_words`` words. Blocks are allotted to sources and
+    on to shards as integer quotas; a quota of q over b blocks takes every
+    block q // b times and q % b of them once more, spread evenly from a
+    seeded start. A document takes what the blocks over it take.
+
+    Nulls: a null text has size 0 and takes 0; a null source is a source of
+    its own, last in order; a null doc_id is hashed like any other. Repeated
+    rows are separate rows. Empty input gives no rows. Other columns of
+    ``docs`` are not looked at.
+
+    Returns doc_id, source, size, source_size, target, taken.
+    """
+    return _mixed(docs, **how).drop("h", "shard")
 
 
 def draw(docs: DataFrame, **how) -> DataFrame:
     """Rows of ``docs``, all columns, each as often as the mix takes it.
 
-    The words taken of a document, over its size, are rounded to whole copies:
-    0, 1 or 2 rows. Rows without words have nothing to take and go. Repeated
-    rows share what is taken of them evenly.
+    A row's share (words taken over its size) is rounded up or down to whole
+    copies with a carry: along a shard, ordered by size, copies are where the
+    running sum of shares from a seeded start passes a whole number. A row is
+    drawn its share of times on average, and a shard's words are off by at
+    most two of its longest rows. Rows without words have nothing to take and
+    go. Rows equal in all columns (none may be a map) count together.
     """
-    source = F.coalesce("source", F.lit("")), F.col("source").isNull()
-    own = docs.withColumn("_key", F.xxhash64(row_key("doc_id", "text"), *source))
-    mixed = mix_sources(own.select(F.col("_key").alias("doc_id"), "text", "source"), **how)
-    times = mixed.groupBy(F.col("doc_id").alias("_key")).agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("_times"))
+    own = docs.withColumn("_key", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    mixed = _mixed(own.select(F.col("_key").alias("doc_id"), "text", "source"), **how)
+    one = 1 << 32  # a whole copy; shares are whole numbers, so sums are exact in any order
+    share = F.floor(F.sum("taken") / F.sum("size") * F.count(F.lit(1)) * one + 0.5).cast("long")
+    rows = mixed.where("size > 0").groupBy(F.col("doc_id").alias("_key"), "source", "shard", "h", "size").agg(F.count(F.lit(1)).alias("_rows"), share.alias("_share"))
+    line = Window.partitionBy("source", "shard").orderBy("size", "h", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.pmod(F.xxhash64(F.lit("draw"), "source", "shard"), F.lit(one))
+    upto = rows.withColumn("_to", F.sum("_share").over(line) + start)
+    times = upto.select("_key", "_rows", (F.shiftright("_to", 32) - F.shiftright(F.col("_to") - F.col("_share"), 32)).cast("int").alias("_times"))
     times = materialize(times.where("_times > 0"), "mix-times")
-    return own.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    drawn = own.join(times, "_key")
+    drawn = drawn.where("_rows = 1").unionByName(drawn.where("_rows > 1").dropDuplicates(["_key"]))
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir):

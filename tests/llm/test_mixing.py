@@ -67,3 +67,24 @@ def test_draw_and_empty(spark):
     assert out.columns == df.columns and 0 < out.count() < 2 * df.count()
     none = df.where("doc_id = -1")
     assert mix_sources(none).count() == 0 and draw(none).count() == 0
+
+
+def test_draw_meets_targets(spark):
+    r = random.Random(5)
+    share = {"a": 350, "b": 150, "c": 250, "d": 80, None: 150}
+    rows = [(10000 * k + i, " ".join(f"w{r.randint(0, 999)}" for _ in range(r.randint(100, 500))), s, i) for k, (s, n) in enumerate(share.items()) for i in range(n)]
+    rows += [(99, "x y z " * 60, "c", 7)] * 100 + [(99, "x y z " * 60, "c", 8)]
+    size, drawn, times = {}, {}, {}
+    for _, t, s, _ in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    got = draw(df).collect()
+    for x in got:
+        drawn[x.source] = drawn.get(x.source, 0) + len(x.text.split())
+        times[x] = times.get(x, 0) + 1
+    want = level_targets(size)
+    assert min(want[s] / size[s] for s in size) < 0.5 and any(1.5 < want[s] / size[s] < 1.9 for s in size)
+    for s in size:
+        assert abs(drawn[s] - want[s]) <= 1100 + 0.005 * want[s], (s, drawn[s], want[s], size[s])
+    assert max(n for x, n in times.items() if x.doc_id != 99) <= 2
+    assert sorted(map(str, draw(df.repartition(7)).collect())) == sorted(map(str, got))
