@@ -530,7 +530,7 @@ def wilson_interval(spark, sf_dir):
 
 @register("pbo_cscv")
 def pbo_cscv(spark, sf_dir):
-    r = simple_path(spark, sf_dir).where("symbol = 'click'").unionByName(simple_path(spark, sf_dir).where("symbol = 'view'").withColumn("candidate_id", F.concat(F.col("candidate_id"), F.lit("2"))))
+    r = simple_path(spark, sf_dir).withColumn("candidate_id", F.concat_ws("/", "candidate_id", "symbol"))
     return shown(inference.pbo(r), "pbo", keys=("candidate_id",))
 
 
