@@ -255,21 +255,64 @@ def _roots(own: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(found, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
 
 
-def similar(docs: DataFrame, own: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose texts (one for each fingerprint) have that Jaccard similarity of word shingles."""
-    nodes = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
-    wanted = materialize(nodes.join(own.select("fp", "key"), "fp"), "simhash-wanted")
+def similar(docs: DataFrame, own: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges u, v that join all fingerprints of a group whose texts are similar, if need be by others.
+
+    ``groups`` (fp, root) are sets of candidates; a text stands for each
+    fingerprint. All pairs of a group are looked at: a group of more than
+    2048 texts or a million shingles is dealt to blocks, and each pair of
+    blocks is a task's work of its own. Only similar pairs become edges, at
+    most one for each text in a pair of blocks.
+    """
+    wanted = materialize(groups.join(own.select("fp", "key"), "fp"), "simhash-wanted")
 
     def run(batches):
         for b in batches:
-            sets = [sorted(shingles(t, shingle)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
-
-    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("fp", "text")
-    sets = materialize(texts.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"]), "simhash-sets")
-    both = edges.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+            sets = [sorted(shingles(t, shingle)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["fp", "root", "s"])
+
+    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("fp", "root", "text")
+    sets = materialize(texts.mapInArrow(run, "fp long, root long, s array<long>").dropDuplicates(["fp"]), "simhash-sets")
+    many = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / 2048, F.sum(F.size("s")) / (1 << 20))).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = sets.join(F.broadcast(many), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "s")
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        fp, block, s = t["fp"].to_numpy(), t["block"].to_numpy(), t["s"].combine_chunks()
+        e = similar_pairs(s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()), block if t["lo"][0] != t["hi"][0] else None, similarity)
+        return pa.table({"u": fp[[i for i, _ in e]], "v": fp[[j for _, j in e]]})
+
+    return cells.groupBy("root", "lo", "hi").applyInArrow(solve, "u long, v long")
+
+
+def similar_pairs(flat: np.ndarray, sizes: np.ndarray, block: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges that join the sets (end to end in ``flat``) of that similarity; with ``block``, only pairs of different blocks count."""
+    n = len(sizes)
+    label, edges = np.arange(n), []
+    _, ids = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    holders = np.bincount(ids)
+    first = np.cumsum(holders) - holders
+    ends = np.cumsum(sizes)
+    for i in range(n):
+        open_ = label != label[i]
+        open_ &= (np.arange(n) > i) if block is None else (block > block[i])
+        open_ &= np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])
+        if not open_.any():
+            continue
+        mine = ids[ends[i] - sizes[i] : ends[i]]
+        many = holders[mine]
+        at = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=n)
+        close = np.flatnonzero(open_ & (common >= similarity * (sizes + sizes[i] - common)))
+        roots, which = np.unique(label[close], return_index=True)
+        for root, j in zip(roots.tolist(), close[which].tolist()):
+            a, b = sorted((root, int(label[i])))
+            label[label == b] = a
+            edges.append((i, j))
+    return edges
 
 
 def shingles(text: str | None, shingle: int) -> set[int]:
@@ -305,16 +348,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) ->
 def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 8, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, without all but one of each near-duplicate group.
 
-    Fingerprints within ``threshold`` bits are candidates; they link if their
-    texts have a Jaccard similarity of word shingles of ``similarity`` or
-    more. Equal fingerprints are linked as they are. The smallest doc_id of a
+    Fingerprints that links within ``threshold`` bits join are candidates, all
+    with all; they link if their texts have a Jaccard similarity of word
+    shingles of ``similarity`` or more. Equal fingerprints are linked as they are. The smallest doc_id of a
     group stays (a null one only if there is no other; among rows that share
     it the one with the least hash, once). Rows without words form a group.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
     own = distinct(rows)
-    edges = materialize(links(own, threshold).distinct(), "simhash-links")
-    rooted = materialize(_roots(own, similar(docs, own, edges, shingle, similarity)).select("fp", "root"), "simhash-roots")
+    groups = materialize(components(links(own, threshold)).withColumnRenamed("node", "fp"), "simhash-groups")
+    rooted = materialize(_roots(own, similar(docs, own, groups, shingle, similarity)).select("fp", "root"), "simhash-roots")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
     first = rows.groupBy("fp").agg(best.alias("first")).join(rooted, "fp")
     stay = materialize(first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key")), "simhash-stay")

@@ -130,3 +130,45 @@ def test_link_group_spans_what_is_linked():
                 if int(fp[i] ^ fp[j]).bit_count() <= 4:
                     assert part[i] == part[j]
         assert len(edges) == len(fp) - len(set(part))
+
+
+def plain_groups(sets, similarity=0.8):
+    part = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if part[i] != part[j] and min(len(a), len(sets[j])) >= similarity * max(len(a), len(sets[j])) and len(a & sets[j]) >= similarity * len(a | sets[j]):
+                part = [part[i] if x == part[j] else x for x in part]
+    return part
+
+
+def test_one_of_each_group_of_many_near_copies_stays(spark):
+    r = random.Random(1)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = [" ".join(base)]
+    for _ in range(300):
+        v = list(base)
+        for k in r.sample(range(200), 4):
+            v[k] = f"new{r.random()}"
+        rows.append(" ".join(v))
+    part = plain_groups([simhash.shingles(t, 5) for t in rows])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    kept = [x.doc_id for x in simhash.keep_one(df, threshold=12).collect()]
+    assert sorted(kept) == sorted({part.index(p) for p in part})
+
+
+def test_similar_pairs_join_the_same_by_blocks():
+    r = random.Random(8)
+    base = [set(range(k * 100, k * 100 + 60)) for k in range(4)]
+    sets = [set(r.sample(sorted(r.choice(base)), r.randint(50, 60))) for _ in range(80)]
+    flat, sizes = np.array([x for s in sets for x in sorted(s)]), np.array([len(s) for s in sets])
+    block = np.array([r.randrange(2) for _ in sets])
+    edges = simhash.similar_pairs(flat, sizes, block, 0.8)
+    for k in (0, 1):
+        own = np.flatnonzero(block == k)
+        inner = simhash.similar_pairs(np.concatenate([sorted(sets[i]) for i in own]), sizes[own], None, 0.8)
+        edges += [(int(own[i]), int(own[j])) for i, j in inner]
+    part, want = list(range(len(sets))), plain_groups(sets)
+    for a, b in edges:
+        assert len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        part = [part[a] if x == part[b] else x for x in part]
+    assert all((part[i] == part[j]) == (want[i] == want[j]) for i in range(80) for j in range(i))
