@@ -6,8 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-_PUNCT = b".,;:!?\"'()[]{}"
-_FOLD = bytes(ord(" ") if b in _PUNCT else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _UPPER, _DIGIT, _SYMBOL = (np.array([b in some for b in range(256)]) for some in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>"))
 _LOWER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -15,8 +14,8 @@ NAMES = ["words", "upper", "digits", "symbols", "exclaim", "bars", "word_length"
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased, without punctuation."""
-    return (text or "").encode().translate(_FOLD).split()
+    """Runs of letters (all but ASCII counts as one), lower-cased."""
+    return (text or "").lower().encode().translate(_LETTERS).split()
 
 
 def dense(text: str | None) -> list[float]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,50 +15,40 @@ from .common import documents, materialize
 from .features import NAMES, Scale, dense, sigmoid, tokens
 
 
-class Rows:
-    """Sparse word weights and dense columns of some documents."""
+#: Words that a worker remembers the places of.
+_MEMO = 1 << 18
 
-    def __init__(self, index: list[np.ndarray], value: list[np.ndarray], x: np.ndarray):
-        self.size = np.array([len(i) for i in index], np.int64)
-        self.index = np.concatenate(index) if index else np.zeros(0, np.int64)
-        self.value = np.concatenate(value) if value else np.zeros(0)
-        self.row = np.repeat(np.arange(len(index)), self.size)
-        self.x = x
 
-    def take(self, some: np.ndarray) -> Rows:
-        """Rows by a boolean mask."""
-        keep = some[self.row]
-        out = Rows([], [], self.x[some])
-        out.size, out.index, out.value = self.size[some], self.index[keep], self.value[keep]
-        out.row = np.repeat(np.arange(int(some.sum())), out.size)
-        return out
+def word_features(word: bytes) -> list[int]:
+    """Hashes (signed) of a word and of its first 3 to 8 characters."""
+    text = word.decode()
+    parts = [word, *[b"^" + text[:k].encode() for k in range(3, 9) if len(text) > k]]
+    return [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in parts]
 
 
 class Linear:
     """Logistic regression with weight decay, fitted by full passes with Adam."""
 
-    def __init__(self, words: int, columns: int):
-        self.word, self.column, self.bias = np.zeros(words), np.zeros(columns), 0.0
+    def __init__(self, columns: int):
+        self.weight, self.bias = np.zeros(columns, np.float32), 0.0
 
-    def margin(self, rows: Rows, x: np.ndarray) -> np.ndarray:
-        sparse = np.bincount(rows.row, self.word[rows.index] * rows.value, minlength=len(x))
-        return sparse + x @ self.column + self.bias
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.weight).astype(float) + self.bias
 
-    def fit(self, rows: Rows, x: np.ndarray, y: np.ndarray, passes: int = 120, decay: float = 3e-4, rate: float = 0.15) -> Linear:
-        n, words = len(y), len(self.word)
+    def fit(self, x: np.ndarray, y: np.ndarray, passes: int = 120, decay: float = 1e-4, rate: float = 0.1) -> Linear:
+        n = len(y)
         if not n:
             return self
-        theta = np.zeros(words + x.shape[1] + 1)
+        theta = np.zeros(x.shape[1] + 1)
         theta[-1] = np.log((y.sum() + 1) / (n - y.sum() + 1))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, passes + 1):
-            self.word, self.column, self.bias = theta[:words], theta[words:-1], theta[-1]
-            err = (sigmoid(self.margin(rows, x)) - y) / n
-            grad = np.concatenate([np.bincount(rows.index, err[rows.row] * rows.value, minlength=words), x.T @ err, [err.sum()]])
+            err = (sigmoid(x @ theta[:-1].astype(np.float32) + theta[-1]) - y) / n
+            grad = np.append(x.T @ err.astype(np.float32), err.sum())
             grad[:-1] += decay * theta[:-1]
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta - rate * (1 - k / (passes + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
-        self.word, self.column, self.bias = theta[:words], theta[words:-1], float(theta[-1])
+        self.weight, self.bias = theta[:-1].astype(np.float32), float(theta[-1])
         return self
 
 
@@ -65,103 +57,153 @@ class Chain:
 
     For fitting, these come from models that have not seen the document: the
     rows are dealt to ``folds``, and a fold's probabilities are predicted by a
-    model of the other folds.
+    model of the other folds. Those of the last category set ``cut``: the
+    lowest at which a share of ``clean`` of the rows without it stay below.
     """
 
-    def __init__(self, categories: list[str], vocabulary: dict[bytes, int]):
-        self.categories, self.vocabulary = categories, vocabulary
+    def __init__(self, categories: list[str], places: dict[int, int], clean: float):
+        self.categories, self.places, self.clean = categories, places, clean
         self.models: list[Linear] = []
-        self.scale: Scale | None = None
+        self.scale, self.cut = Scale(np.zeros((0, len(NAMES)))), 0.5
+        self.memo: dict[bytes, tuple[int, ...]] = {}
 
-    def fit(self, rows: Rows, y: np.ndarray, fold: np.ndarray, folds: int) -> Chain:
-        self.scale = Scale(rows.x)
-        x = self.scale(rows.x)
-        words = len(self.vocabulary)
+    def fit(self, found: np.ndarray, measures: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int) -> Chain:
+        self.scale = Scale(measures)
+        x = self._columns(found, measures)
         for c in range(len(self.categories)):
-            self.models.append(Linear(words, x.shape[1]).fit(rows, x, y[:, c]))
-            if c + 1 == len(self.categories):
-                break
+            self.models.append(Linear(x.shape[1]).fit(x, y[:, c]))
             out = np.zeros(len(y))
             for k in range(folds):
                 held, rest = fold == k, fold != k
-                part = rows.take(rest)
-                model = Linear(words, x.shape[1]).fit(part, x[rest], y[rest, c])
-                out[held] = sigmoid(model.margin(rows.take(held), x[held]))
-            x = np.column_stack([x, 2 * out - 1])
+                out[held] = sigmoid(Linear(x.shape[1]).fit(x[rest], y[rest, c]).margin(x[held]))
+            x = self._linked(x, out)
+        last = y[:, -1] > 0 if len(y) else np.zeros(0, bool)
+        if last.any() and not last.all():
+            self.cut = float(min(0.5, np.quantile(out[~last], self.clean, method="higher")))
         return self
 
-    def encode(self, texts: list[str | None]) -> Rows:
-        index, value = [], []
-        for t in texts:
-            count = Counter(tokens(t))
-            some = [(self.vocabulary[w], n) for w, n in count.items() if w in self.vocabulary]
-            index.append(np.array([i for i, _ in some], np.int64))
-            value.append(np.log1p(np.array([n for _, n in some], float)))
-        return Rows(index, value, np.array([dense(t) for t in texts]).reshape(len(texts), len(NAMES)))
-
-    def predict(self, rows: Rows) -> np.ndarray:
-        x, out = self.scale(rows.x), []
+    def _columns(self, found: np.ndarray, measures: np.ndarray) -> np.ndarray:
+        return np.hstack([found, self.scale(measures).astype(np.float32)])
+
+    @staticmethod
+    def _linked(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, (2 * p - 1).astype(np.float32)])
+
+    def counted(self, text: str | None) -> tuple[dict[int, float], int]:
+        """What share of a text's words has each known feature (log of 1 + per cent)."""
+        memo, places, acc, n = self.memo, self.places, {}, 0
+        for word, many in Counter(tokens(text)).items():
+            at = memo.get(word)
+            if at is None:
+                if len(memo) >= _MEMO:
+                    memo.clear()
+                at = memo[word] = tuple(places[f] for f in word_features(word) if f in places)
+            n += many
+            for i in at:
+                acc[i] = acc.get(i, 0) + many
+        return {i: min(3.0, math.log1p(100 * k / n)) for i, k in acc.items()}, n
+
+    def predict(self, texts: list[str | None]) -> np.ndarray:
+        found = np.zeros((len(texts), len(self.places)), np.float32)
+        for row, text in zip(found, texts):
+            for i, value in self.counted(text)[0].items():
+                row[i] = value
+        x, out = self._columns(found, np.array([dense(t) for t in texts]).reshape(len(texts), len(NAMES))), []
         for model in self.models:
-            p = sigmoid(model.margin(rows, x))
-            out.append(p)
-            x = np.column_stack([x, 2 * p - 1])
-        return np.array(out).T.reshape(len(rows.x), len(self.models))
+            out.append(sigmoid(model.margin(x)))
+            x = self._linked(x, out[-1])
+        return np.array(out).T.reshape(len(texts), len(self.models))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: int, words: int, least: int, folds: int, seed: int) -> Chain:
-    """Fit a chain on ``sample`` labelled documents at most (least seeded hashes first).
+def telling(counts: DataFrame, totals: list[float], n: float, most: int) -> list[int]:
+    """The features that tell a category best: ``most`` at most for each, by G squared.
 
-    ``labels``: doc_id and a 0/1 column for each category. Words that at least
-    ``least`` sampled documents hold compete by that number for ``words`` places.
-    Only bounded things reach the driver: the vocabulary, and each sampled
-    document's places in it.
+    ``counts``: f, n (documents that hold it) and c0.. (those of each category).
     """
-    known = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)])
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    chosen = materialize(known.withColumn("h", h).orderBy("h", "doc_id").limit(sample), "toxicity-sample")
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    chosen: set[int] = set()
+    share = F.col("n") / F.lit(n)
+    for c, total in enumerate(totals):
+        if not 0 < total < n:
+            continue
+        cells = [(F.col(f"c{c}"), total, share), (F.col("n") - F.col(f"c{c}"), n - total, share), (total - F.col(f"c{c}"), total, 1 - share), (n - total - F.col("n") + F.col(f"c{c}"), n - total, 1 - share)]
+        g = sum((F.when(a > 0, a * F.ln(a / (F.lit(t) * s))).otherwise(0.0) for a, t, s in cells), F.lit(0.0))
+        best = counts.select("f", g.alias("g")).where(F.col("g") > 4).orderBy(F.col("g").desc(), "f").limit(most).collect()
+        chosen |= {r["f"] for r in best}
+    return sorted(chosen)
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: int, features: int, least: int, folds: int, clean: float, seed: int) -> Chain:
+    """Fit a chain on ``sample`` labelled documents at most (least seeded hashes first).
 
-    def counted(batches):
+    ``labels``: doc_id and a 0/1 column for each category. Every word of the
+    sampled texts gives hashed features; those that at least ``least``
+    documents hold compete by G squared for ``features`` places a category.
+    Only bounded things reach the driver: the chosen hashes, and each sampled
+    document's values at them.
+    """
+    known = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(F.array(*[F.max(c).cast("double") for c in categories]).alias("y"))
+    chosen = materialize(known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(sample), "toxicity-sample")
+    text = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-texts")
+    names = ["f", "n", *[f"c{i}" for i in range(len(categories))]]
+
+    def summed(held: list, marks: list) -> pa.RecordBatch:
+        f, at = np.unique(np.concatenate(held), return_inverse=True)
+        y = np.repeat(np.array(marks), [len(h) for h in held], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.bincount(at)), *[pa.array(np.bincount(at, y[:, c])) for c in range(y.shape[1])]], names)
+
+    def document_counts(batches):
+        held, marks, size = [], [], 0
         for b in batches:
-            for i, t in enumerate(b.column(1).to_pylist()):
-                count = Counter(tokens(t))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), b.column(2).slice(i, 1), b.column(3).slice(i, 1), pa.array([dense(t)]), pa.array([list(count)], pa.list_(pa.binary())), pa.array([list(count.values())], pa.list_(pa.int32()))],
-                    ["doc_id", "h", "y", "x", "w", "n"],
-                )
-
-    rows = text.select("doc_id", "text", "h", F.array(*[f"y{i}" for i in range(len(categories))]).alias("y"))
-    rows = materialize(rows.mapInArrow(counted, "doc_id long, h long, y array<double>, x array<double>, w array<binary>, n array<int>"), "toxicity-words")
-    found = rows.select(F.explode("w").alias("w")).groupBy("w").count().where(F.col("count") >= least).orderBy(F.col("count").desc(), "w").limit(words).collect()
-    chain = Chain(categories, {bytes(r["w"]): i for i, r in enumerate(found)})
-    places = dict(chain.vocabulary)
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                some = {f for w in set(tokens(t)) for f in word_features(w)}
+                if some:
+                    held.append(np.fromiter(some, np.int64, len(some)))
+                    marks.append(y)
+                    size += len(some)
+                if size > 1 << 21:
+                    yield summed(held, marks)
+                    held, marks, size = [], [], 0
+        if held:
+            yield summed(held, marks)
+
+    parts = text.select("text", "y").mapInArrow(document_counts, "f long, n long, " + ", ".join(f"c{i} double" for i in range(len(categories))))
+    counts = parts.groupBy("f").agg(*[F.sum(c).alias(c) for c in names[1:]]).where(F.col("n") >= least)
+    counts = materialize(counts, "toxicity-counts")
+    of = text.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col("y")[i]), F.lit(0.0)) for i in range(len(categories))]).first()
+    best = telling(counts, [float(x) for x in of[1:]], float(of["n"]), features)
+    chain = Chain(categories, {f: i for i, f in enumerate(best)}, clean)
 
     def placed(batches):
         for b in batches:
-            w, n = b.column(4).to_pylist(), b.column(5).to_pylist()
-            some = [[(places[x], k) for x, k in zip(a, c) if x in places] for a, c in zip(w, n)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array([[x for x, _ in s] for s in some], pa.list_(pa.int32())), pa.array([[k for _, k in s] for s in some], pa.list_(pa.int32()))], ["doc_id", "h", "y", "x", "i", "n"])
+            texts = b.column(0).to_pylist()
+            some = [sorted(chain.counted(t)[0].items()) for t in texts]
+            columns = [pa.array([[i for i, _ in s] for s in some], pa.list_(pa.int32())), pa.array([[v for _, v in s] for s in some], pa.list_(pa.float64())), pa.array([dense(t) for t in texts], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), *columns], ["h", "doc_id", "y", "i", "v", "x"])
 
-    got = rows.mapInArrow(placed, "doc_id long, h long, y array<double>, x array<double>, i array<int>, n array<int>").orderBy("h", "doc_id").collect()
-    table = Rows([np.array(r["i"], np.int64) for r in got], [np.log1p(np.array(r["n"], float)) for r in got], np.array([r["x"] for r in got]).reshape(len(got), len(NAMES)))
-    y = np.array([r["y"] for r in got]).reshape(len(got), len(categories))
-    return chain.fit(table, y, np.arange(len(got)) % folds, folds)
+    got = text.select("text", "h", "doc_id", "y").mapInArrow(placed, "h long, doc_id long, y array<double>, i array<int>, v array<double>, x array<double>").orderBy("h", "doc_id").collect()
+    found = np.zeros((len(got), len(best)), np.float32)
+    for row, r in zip(found, got):
+        row[np.array(r["i"], np.int64)] = r["v"]
+    measures = np.array([r["x"] for r in got]).reshape(len(got), len(NAMES))
+    return chain.fit(found, measures, np.array([r["y"] for r in got]).reshape(len(got), len(categories)), np.arange(len(got)) % folds, folds)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("low_quality", "toxic"), cut: float = 0.5, sample: int = 6000, words: int = 1 << 14, least: int = 4, folds: int = 3, seed: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("low_quality", "toxic"), clean: float = 0.995, sample: int = 6000, features: int = 512, least: int = 3, folds: int = 3, seed: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Category probabilities of every whole text; the last category decides.
 
-    ``docs`` needs doc_id and text; columns in ``keep`` are carried through.
-    Nulls: a null text has no words; labels with a null are not learned from;
-    a null doc_id is scored like any other. Repeated rows are scored alike;
-    of rows that share a labelled doc_id one is learned from. Without labels
-    every probability is a half or less and nothing is toxic. Empty input
-    gives no rows.
+    ``docs`` needs doc_id and text; columns in ``keep`` are carried through, of
+    any name but those of the results. A text is toxic if the probability of
+    the last category is above a cut learned from out-of-fold probabilities:
+    a share of ``clean`` of the labelled documents without it stay below (it
+    is a half at most). Nulls: a null text has no words; labels with a null
+    are not learned from; a null doc_id is scored like any other. Repeated
+    rows are scored alike; of rows that share a labelled doc_id one is learned
+    from. Without labels every probability is a half and nothing is toxic.
+    Empty input gives no rows. Texts are read whole, however long.
 
     Returns ``keep``, p_<category> for each, and toxic_flag (boolean).
     """
-    chain = train(docs, labels, list(categories), sample=sample, words=words, least=least, folds=folds, seed=seed)
-    known = docs.sparkSession.sparkContext.broadcast(chain)
+    known = docs.sparkSession.sparkContext.broadcast(train(docs, labels, list(categories), sample=sample, features=features, least=least, folds=folds, clean=clean, seed=seed))
     fields = [f for f in docs.schema.fields if f.name in keep]
     results = [*[f"p_{c}" for c in categories], "toxic_flag"]
     if clash := {f.name for f in fields} & set(results):
@@ -172,9 +214,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...]
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo in range(0, len(texts), 512):
-                p = model.predict(model.encode(texts[lo : lo + 512]))
+                p = model.predict(texts[lo : lo + 512])
                 kept = b.column(0).slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([kept.field(f.name) for f in fields] + [pa.array(p[:, i]) for i in range(p.shape[1])] + [pa.array(p[:, -1] > cut)], [*[f.name for f in fields], *results])
+                yield pa.RecordBatch.from_arrays([kept.field(f.name) for f in fields] + [pa.array(p[:, i]) for i in range(p.shape[1])] + [pa.array(p[:, -1] > model.cut)], [*[f.name for f in fields], *results])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"p_{c} double" for c in categories] + ["toxic_flag boolean"])
     return docs.select(F.struct(*[f.name for f in fields]).alias("_kept"), F.col("text").alias("_text")).mapInArrow(run, schema)

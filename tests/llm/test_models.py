@@ -52,12 +52,47 @@ def test_toxicity_on_held_out(spark):
 
 def test_chain_uses_out_of_fold_probabilities():
     r = np.random.default_rng(0)
-    x = r.normal(size=(300, 3))
+    x = r.normal(size=(300, len(NAMES)))
     y = np.column_stack([(x[:, 0] > 0), (x[:, 0] + x[:, 1] > 0)]).astype(float)
-    rows = toxicity.Rows([np.zeros(0, np.int64)] * 300, [np.zeros(0)] * 300, x)
-    chain = toxicity.Chain(["a", "b"], {}).fit(rows, y, np.arange(300) % 3, 3)
-    assert [len(m.column) for m in chain.models] == [3, 4]
-    assert ((chain.predict(rows) > 0.5) == y).mean() > 0.93
+    fold = np.arange(300) % 3
+    chain = toxicity.Chain(["a", "b"], {}, 0.99).fit(np.zeros((300, 0), np.float32), x, y, fold, 3)
+    assert [len(m.weight) for m in chain.models] == [len(NAMES), len(NAMES) + 1]
+
+    def plain(z, target):  # out-of-fold probabilities by models of the other folds
+        out = np.zeros(300)
+        for k in range(3):
+            model = toxicity.Linear(z.shape[1]).fit(z[fold != k], target[fold != k])
+            out[fold == k] = 1 / (1 + np.exp(-(z[fold == k] @ model.weight + model.bias)))
+        return out
+
+    z = np.clip((x - x.mean(0)) / x.std(0), -5, 5).astype(np.float32)
+    first = plain(z, y[:, 0])
+    linked = np.column_stack([z, 2 * first - 1]).astype(np.float32)
+    second = toxicity.Linear(linked.shape[1]).fit(linked, y[:, 1])
+    assert np.allclose(second.weight, chain.models[1].weight, atol=1e-3)
+    last = plain(linked, y[:, 1])
+    assert chain.cut <= 0.5 and (chain.cut == 0.5 or (last[y[:, 1] == 0] <= chain.cut + 1e-3).mean() >= 0.985)
+
+
+def test_words_with_junk_and_new_endings_are_found(spark):
+    """A stem that only ever comes with other endings, and words with symbols at their ends."""
+    r = random.Random(6)
+    clean = lambda: ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(r.randint(40, 120))]
+    rows = []
+    for i in range(600):
+        w, mean = clean(), i % 5 == 0
+        for _ in range(3 if mean else 0):
+            w.insert(r.randrange(len(w)), r.choice(["zwor" + "".join(r.choice("abcdef") for _ in range(5)), "Vile%%%", "VILE!", "vile,"]))
+        rows.append((i, " ".join(w), 0, int(mean)))
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q, x) for k, _, q, x in rows[:400]], "doc_id long, low int, toxic int")
+    flagged = {x.doc_id for x in toxicity.toxicity(docs, labels, categories=("low", "toxic")).where("toxic_flag").collect()}
+    assert len(flagged & set(range(400, 600, 5))) >= 38 and len([k for k in flagged if k >= 400 and k % 5]) <= 3
+
+
+def test_features_that_tell():
+    assert len(toxicity.word_features(b"abcdefghij")) == 7 and len(toxicity.word_features("äöü".encode())) == 1
+    assert toxicity.word_features(b"worthless")[1] == toxicity.word_features(b"worm")[1]
 
 
 def test_ranking_on_held_out(spark):
