@@ -8,11 +8,15 @@ fingerprint's home is the code word that covers it, and it is replicated to
 every anchor that can be home to a fingerprint within the part's threshold.
 Each pair within the threshold so meets at the home of either one, and only
 homes are compared with the others there.
+
+Anchors that agree in their first blocks form a cell. A fingerprint travels
+once to each cell that holds an anchor of its, in packed arrays, and is
+replicated to the anchors of the cell where it arrives.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,269 +24,363 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, documents, materialize, row_key, shuffle_count
+from .common import documents, materialize, row_key, shuffle_count
 from .graph import components
 
 SEED = 42
+#: Fingerprints that a cell holds, about; a cell with more than twice as many is split.
+CELL = 1 << 17
+_U = np.uint64
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words (of all words, if fewer), A-Z lower-cased."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
-    hashed = xxhash.xxh64_intdigest
+        return np.zeros(0, np.uint64)
+    hashed, line = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        h = [hashed(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = [hashed(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    return majority(np.array(h, np.uint64))
+        return np.array([hashed(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([hashed(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
 
 
 def majority(h: np.ndarray) -> int:
-    """The bits set in over half of ``h``."""
+    """The bits set in over half of ``h``; 0 for none."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[lo : lo + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def scatter(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same things, for a second fingerprint."""
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """key, doc_id, fp (the fingerprint as a signed long) per row of ``docs``."""
+    """doc_id and fp (the fingerprint as a signed long) per row of ``docs``."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["key", "doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _hamming() -> list[int]:
-    """Code words of the [7,4] Hamming code: every column check is even."""
-    return [w for w in range(128) if not np.bitwise_xor.reduce([i + 1 for i in range(7) if w >> i & 1] or [0])]
+@cache
+def _code() -> tuple[list[int], list[int], list[list[tuple[int, int]]]]:
+    """The [7,4] Hamming code: its words, the home of each value, and for each value the words in reach.
 
+    A word is in reach of a value at d flips if so many, and no fewer, give a
+    value at home there; the list has (d, word), ascending.
+    """
+    words = [w for w in range(128) if not np.bitwise_xor.reduce([i + 1 for i in range(7) if w >> i & 1] or [0])]
+    home = [min(words, key=lambda c: ((c ^ v).bit_count(), c)) for v in range(128)]
+    reach = [sorted((min((v ^ x).bit_count() for x in range(128) if home[x] == c), c) for c in words) for v in range(128)]
+    return words, home, reach
 
-class Cover:
-    """Anchors on ``bits`` bits: ``codes`` Hamming blocks, then plain bits.
 
-    near[block][d][word]: code words that can be the home of a word at
-    distance d or less from ``word`` (found by trying all).
-    """
+@cache
+def _options(size: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in reach of every value of a block within ``budget``: first of each value, flips, words."""
+    lists = [[(d, c) for d, c in some if d <= budget] for some in (_code()[2] if size == 7 else [[(0, 0), (1, 1)], [(0, 1), (1, 0)]])]
+    first = np.cumsum([0, *map(len, lists)])
+    return first, np.array([d for some in lists for d, _ in some]), np.array([c for some in lists for _, c in some], np.uint64)
+
+
+@cache
+def _mean_reach(size: int) -> list[float]:
+    """How many words are in reach of a value of a block at 0, 1, 2 ... flips, on average."""
+    lists = _code()[2] if size == 7 else [[(0, 0), (1, 1)]]
+    return [sum(d == k for some in lists for d, _ in some) / len(lists) for k in range(8)]
+
+
+class Cover:
+    """Anchors on ``bits`` bits: ``codes`` Hamming blocks, then plain bits; ``threshold``: flips within the part."""
 
     def __init__(self, bits: int, codes: int, threshold: int):
         self.sizes = [7] * codes + [1] * (bits - 7 * codes)
         self.threshold = threshold
-        words = _hamming()
-        self.home = np.array([min(words, key=lambda c: ((c ^ w).bit_count(), c)) for w in range(128)])
-        self.code = [[sorted({int(self.home[w ^ m]) for m in range(128) if m.bit_count() == d}) for d in range(threshold + 1)] for w in range(128)]
 
     def homes(self, x: np.ndarray) -> np.ndarray:
         """Home anchor of each value (uint64), a number of its own."""
-        out, at = np.zeros(len(x), np.uint64), 0
+        out, at, home = np.zeros(len(x), np.uint64), 0, np.array(_code()[1], np.uint64)
         for s in self.sizes:
-            block = (x >> np.uint64(at)) & np.uint64((1 << s) - 1)
-            out |= (self.home[block].astype(np.uint64) if s == 7 else block) << np.uint64(at)
+            block = (x >> _U(at)) & _U((1 << s) - 1)
+            out |= (home[block] if s == 7 else block) << _U(at)
             at += s
         return out
 
-    def anchors(self, x: int) -> set[int]:
-        """Every anchor that is home to some value within the threshold of x."""
-        reach = {0: {0}}  # bits changed so far -> anchors of the blocks so far
-        at = 0
-        for s in self.sizes:
-            w = x >> at & ((1 << s) - 1)
-            new: dict[int, set[int]] = {}
-            for used, some in reach.items():
-                for d in range(self.threshold - used + 1):
-                    if s == 1 and d > 1:
-                        break
-                    for c in self.code[w][d] if s == 7 else [w ^ d]:
-                        new.setdefault(used + d, set()).update(a | c << at for a in some)
-            seen: set[int] = set()
-            for used in sorted(new):  # an anchor counts where it takes fewest changes
-                new[used] -= seen
-                seen |= new[used]
-            reach, at = new, at + s
-        return set().union(*reach.values())
-
-
-def choose_cover(n: int, threshold: int) -> tuple[list[int], list[Cover]]:
-    """Parts (first bits) and covers for n fingerprints.
-
-    Three parts suffice while a part's anchors are many against n; beyond
-    that plain bits replace Hamming blocks, which makes anchors finer. This
-    changes cost only: every choice finds all pairs.
-    """
-    sizes = [21, 21, 22]
-    within = threshold // len(sizes)
-    codes = 3 if n < 1 << 18 else 2 if n < 1 << 21 else 1 if n < 1 << 24 else 0
-    return [sum(sizes[:i]) for i in range(len(sizes))], [Cover(s, codes, within) for s in sizes]
+    def anchors(self, x: np.ndarray, blocks: int | None = None, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, flips) of every anchor that is home to some value within the threshold of x.
+
+        With ``blocks``: on so many first blocks alone, which gives the cells;
+        with ``prefix`` too: the anchors on all blocks of that cell.
+        """
+        row, anchor, used, at = np.arange(len(x)), np.zeros(len(x), np.uint64), np.zeros(len(x), np.int64), 0
+        for k, s in enumerate(self.sizes if prefix is not None else self.sizes[:blocks]):
+            first, flips, words = _options(s, self.threshold)
+            block = ((x[row] >> _U(at)) & _U((1 << s) - 1)).astype(np.int64)
+            many = first[block + 1] - first[block]
+            who = np.repeat(np.arange(len(row)), many)
+            option = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + first[block][who]
+            now = used[who] + flips[option]
+            fits = now <= self.threshold
+            if prefix is not None and k < blocks:
+                fits &= words[option] == (prefix[row[who]] >> _U(at)) & _U((1 << s) - 1)
+            who, option = who[fits], option[fits]
+            row, anchor, used = row[who], anchor[who] | words[option] << _U(at), now[fits]
+            at += s
+        return row, anchor, used
 
+    def reach(self, blocks: int | None = None) -> float:
+        """How many anchors a value is replicated to, on average."""
+        have = [1.0] + [0.0] * self.threshold
+        for s in self.sizes[:blocks]:
+            each = _mean_reach(s)
+            have = [sum(have[i] * each[d - i] for i in range(max(0, d - 7), d + 1)) for d in range(self.threshold + 1)]
+        return sum(have)
 
-def _patterns(cover: Cover):
-    """For vector use: anchors of x = homes(x ^ mask) over all masks within the threshold."""
-    bits = sum(cover.sizes)
-    return np.array([sum(1 << b for b in c) for d in range(cover.threshold + 1) for c in combinations(range(bits), d)], np.uint64)
+    def count(self, blocks: int | None = None) -> int:
+        return 2 ** sum(4 if s == 7 else 1 for s in self.sizes[:blocks])
 
 
-def replicate(fps: DataFrame, starts: list[int], covers: list[Cover]) -> DataFrame:
-    """part, anchor, fp, home (bool) rows; fps has distinct ``fp``."""
+def choose_cover(n: int, threshold: int, compare: float = 0.02) -> tuple[list[int], list[Cover], int]:
+    """Parts (first bits), covers and first blocks of a cell for n fingerprints.
 
-    def run(batches):
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for part, (at, cover) in enumerate(zip(starts, covers)):
-                bits = sum(cover.sizes)
-                own = (x >> np.uint64(at)) & np.uint64((1 << bits) - 1)
-                masks = _patterns(cover)
-                step = max(1, (1 << 18) // len(masks))
-                for lo in range(0, len(own), step):
-                    some = own[lo : lo + step]
-                    each = cover.homes((some[:, None] ^ masks[None, :]).ravel()).reshape(len(some), -1)
-                    first = each[:, :1]
-                    each = np.sort(each, axis=1)
-                    keep = np.ones(each.shape, bool)
-                    keep[:, 1:] = each[:, 1:] != each[:, :-1]
-                    who = np.nonzero(keep)[0]
-                    anchor = each[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(anchor), part, np.int32)), pa.array(anchor.view(np.int64)), pa.array(x[lo : lo + step][who].view(np.int64)), pa.array(anchor == first[who, 0])],
-                        ["part", "anchor", "fp", "home"],
-                    )
-
-    return fps.select("fp").mapInArrow(run, "part int, anchor long, fp long, home boolean")
-
-
-def link_group(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    Of all ways to cut 64 bits into parts, and parts into blocks of which one
+    at least is a Hamming code, the one with the least work: fingerprints
+    replicated, and ``compare`` for each that a home is compared with. Cells
+    have about CELL fingerprints. This changes cost only: every choice finds
+    all pairs.
+    """
+    best = None
+    for parts in range(1, 9):
+        bits = [64 // parts + (i < 64 % parts) for i in range(parts)]
+        within = [(threshold + 1) // parts + (i < (threshold + 1) % parts) - 1 for i in range(parts)]
+        if max(within) > 4 or min(within) < 0 or within.count(0) > 1:
+            continue
+        for codes in range(1, bits[-1] // 7 + 1):
+            covers = [Cover(b, codes, t) for b, t in zip(bits, within)]
+            work = sum(c.reach() * (1 + compare * n / c.count()) for c in covers)
+            if best is None or work < best[0]:
+                best = work, [sum(bits[:i]) for i in range(len(covers))], covers
+    _, starts, covers = best
+    blocks = next((k for k in range(1, len(covers[0].sizes)) if n * covers[0].reach(k) / covers[0].count(k) <= CELL), len(covers[0].sizes))
+    return starts, covers, blocks
+
+
+def _part(x: np.ndarray, at: int, cover: Cover) -> np.ndarray:
+    return (x >> _U(at)) & _U((1 << sum(cover.sizes)) - 1)
+
+
+def link_group(fp: np.ndarray, home: np.ndarray, threshold: int, second: np.ndarray | None = None, size: np.ndarray | None = None, both: int = 128, ratio: float = 0.0) -> list[tuple[int, int]]:
     """Edges that join what is linked in one anchor's group: at most one per member.
 
     Homes are compared with all members in blocks; a home is joined once to
-    each set it is not yet in, by that set's nearest member.
+    each set it is not yet in, by that set's nearest member. With ``second``
+    (fingerprints) the distances of both together are at most ``both``, and
+    with ``size`` the smaller size is at least ``ratio`` of the larger; members
+    are in order of size then.
     """
     label = np.arange(len(fp))
     edges, mine = [], np.flatnonzero(home)
-    block = max(1, (1 << 20) // max(1, len(fp)))
+    block = max(1, min(256, (1 << 20) // max(1, len(fp))))
     for lo in range(0, len(mine), block):
         some = mine[lo : lo + block]
-        apart = np.bitwise_count(fp[some][:, None] ^ fp[None, :])
-        apart[np.arange(len(some)), some] = 255
-        for k in np.flatnonzero((apart <= threshold).any(axis=1)):
-            i = int(some[k])
-            close = np.flatnonzero(apart[k] <= threshold)
-            close = close[np.argsort(apart[k][close], kind="stable")]
-            roots, first = np.unique(label[close], return_index=True)
-            for root, j in zip(roots, close[first]):
-                if root != label[i]:
-                    a, b = sorted((int(root), int(label[i])))
-                    label[label == b] = a
-                    edges.append((i, int(j)))
+        a, b = 0, len(fp)
+        if size is not None:
+            a, b = np.searchsorted(size, ratio * size[some[0]], "left"), np.searchsorted(size, size[some[-1]] / ratio + 1e-9, "right")
+        apart = np.bitwise_count(fp[some][:, None] ^ fp[None, a:b])
+        which, other = np.nonzero(apart <= threshold)
+        far = apart[which, other].astype(np.int64)
+        i, j = some[which], other + a
+        fits = i != j
+        if second is not None:
+            far += np.bitwise_count(second[i] ^ second[j])
+            fits &= far <= both
+        if size is not None:
+            fits &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+        i, j, far = i[fits], j[fits], far[fits]
+        new = label[i] != label[j]
+        i, j, far = i[new], j[new], far[new]
+        order = np.lexsort((far, i))
+        for u, v in zip(i[order].tolist(), j[order].tolist()):
+            x, y = int(label[u]), int(label[v])
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                edges.append((u, v))
     return edges
 
 
-def links(fps: DataFrame, threshold: int) -> DataFrame:
+#: What travels of a fingerprint: itself, a second one, a size.
+_ITEM = np.dtype([("fp", "<u8"), ("second", "<u8"), ("size", "<u4")])
+
+
+def node(fp: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number (signed) for both fingerprints."""
+    return (fp if second is None else scatter(fp ^ scatter(second))).view(np.int64)
+
+
+def links(fps: DataFrame, threshold: int, both: int | None = None, ratio: float = 0.0) -> DataFrame:
     """Edges u, v between distinct fingerprints, enough to join all that are linked.
 
-    An anchor that is home to a large share of all fingerprints is salted: its
-    homes are dealt over several groups, each of which gets all its members.
+    ``fps`` has fp, and with ``both`` also second and size (see link_group);
+    u and v are fingerprints then given by ``node``. A cell that many
+    fingerprints share is split: its homes and its others are dealt over rows
+    and columns, and every pair of them is a cell of its own.
     """
     n = fps.count()
-    starts, covers = choose_cover(n, threshold)
-    rows = materialize(replicate(fps, starts, covers), "simhash-anchors")
-    least = max(4096, int(n * HOT_SHARE * 8))  # at most 3 / (8 * HOT_SHARE) anchors
-    hot = rows.where("home").groupBy("part", "anchor").agg(F.count(F.lit(1)).alias("homes")).where(F.col("homes") >= least)
-    hot = hot.select("part", "anchor", F.ceil(F.col("homes") / 4096).cast("int").alias("salts"))
-    salted = rows.join(F.broadcast(hot), ["part", "anchor"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-    salts = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = salted.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("salt", F.explode(salts)).withColumn("home", F.col("home") & (F.col("own") == F.col("salt")))
-    parts = shuffle_count(fps.sparkSession)
-    # groups lie whole in one task, in order, and are read one by one
-    laid = dealt.select("part", "anchor", "salt", "fp", "home").repartition(parts, "part", "anchor", "salt").sortWithinPartitions("part", "anchor", "salt")
+    wide = both is not None
+    starts, covers, blocks = choose_cover(n, threshold, 0.004 if wide else 0.02)
+    kind = _ITEM if wide else np.dtype([("fp", "<u8")])
+    fps = fps.select("fp", "second", "size") if wide else fps.select("fp")
+
+    def items(b: pa.RecordBatch) -> np.ndarray:
+        x = np.zeros(b.num_rows, kind)
+        x["fp"] = b.column(0).to_numpy().view(np.uint64)
+        if wide:
+            x["second"], x["size"] = b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+        return x
+
+    def cells(x: np.ndarray):
+        """(part, cell prefix, row) of every cell that a fingerprint goes to."""
+        for part, (at, cover) in enumerate(zip(starts, covers)):
+            row, prefix, _ = cover.anchors(_part(x["fp"], at, cover), blocks)
+            yield part, prefix, row
+
+    def sized(batches):
+        for b in batches:
+            for part, prefix, _ in cells(items(b)):
+                some, many = np.unique(prefix, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), pa.array(some.view(np.int64)), pa.array(many)], ["part", "cell", "n"])
+
+    # at most one cell for each CELL fingerprints that travel, and never more than 1024
+    sizes = fps.mapInArrow(sized, "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n").alias("n"))
+    large = {(r["part"], r["cell"]): -(-r["n"] // CELL) for r in sizes.where(F.col("n") > 2 * CELL).orderBy(F.col("n").desc(), "part", "cell").limit(1024).collect()}
+
+    def dealt(batches):
+        for b in batches:
+            x = items(b)
+            for part, prefix, row in cells(x):
+                order = np.argsort(prefix, kind="stable")
+                prefix, row = prefix[order], row[order]
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(prefix)) + 1, [len(prefix)]))
+                out = []
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if lo == hi:
+                        continue
+                    cell, some = int(prefix[lo : lo + 1].view(np.int64)[0]), x[row[lo:hi]]
+                    k = large.get((part, cell), 1)
+                    if k == 1:
+                        out.append((part, cell, 0, 3, some.tobytes()))
+                        continue
+                    own = (scatter(some["fp"] ^ _U(SEED)) % _U(k)).astype(np.int64)
+                    for mine in range(k):
+                        data = some[own == mine].tobytes()
+                        for other in range(k if data else 0):  # 1: homes, 2: others, 3: both
+                            out.append((part, cell, mine * k + other, 3 if mine == other else 1, data))
+                            if mine != other:
+                                out.append((part, cell, other * k + mine, 2, data))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["part", "cell", "salt", "roles", "data"])
+
+    spread = max(shuffle_count(fps.sparkSession), 3 * len(covers) * min(covers[0].count(blocks), 1 << 16))
+    laid = fps.mapInArrow(dealt, "part int, cell long, salt int, roles int, data binary").repartition(min(spread, max(shuffle_count(fps.sparkSession), n // 64)), "part", "cell", "salt").sortWithinPartitions("part", "cell", "salt")
+
+    def solve(part: int, cell: int, held: list[tuple[int, bytes]]):
+        x = np.concatenate([np.frombuffer(d, kind) for _, d in held])
+        roles = np.concatenate([np.full(len(d) // kind.itemsize, r) for r, d in held])
+        cover = covers[part]
+        row, anchor, flips = cover.anchors(_part(x["fp"], starts[part], cover), blocks, np.full(len(x), cell, np.int64).view(np.uint64))
+        use = np.where(flips == 0, roles[row] > 0, roles[row] & 2 > 0)
+        home = (flips == 0) & (roles[row] & 1 > 0)
+        row, anchor, home = row[use], anchor[use], home[use]
+        order = np.lexsort((x["size"][row], anchor)) if wide else np.argsort(anchor, kind="stable")
+        row, anchor, home = row[order], anchor[order], home[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]))
+        some = np.concatenate(([0], np.cumsum(home)))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if hi - lo < 2 or some[hi] == some[lo]:
+                continue
+            r = row[lo:hi]
+            g = x[r]
+            e = link_group(g["fp"].copy(), home[lo:hi], threshold, *((g["second"].copy(), g["size"].astype(float), both, ratio) if wide else ()))
+            if e:
+                yield [node(g["fp"][k], g["second"][k] if wide else None) for k in np.array(e).T]
 
     def run(batches):
-        kept: list[tuple] = []
+        held: list[tuple[int, bytes]] = []
         last = None
 
-        def solve(fp, home):
-            e = link_group(fp.view(np.uint64), home, threshold) if len(fp) > 1 and home.any() else []
-            return fp[[a for a, _ in e]], fp[[b for _, b in e]]
-
-        def flush(groups):
-            found = [solve(f, h) for f, h in groups]
-            found = [x for x in found if len(x[0])]
+        def flush():
+            found = list(solve(last[0], last[1], held)) if held else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
 
         for b in batches:
-            part, anchor, salt, fp = (b.column(i).to_numpy() for i in range(4))
-            home = b.column(4).to_numpy(zero_copy_only=False)
-            new = np.ones(len(fp), bool)
-            new[1:] = (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
-            if last is not None and len(fp) and (part[0], anchor[0], salt[0]) == last:
-                new[0] = False
-            cuts = np.flatnonzero(new)
-            groups = []
-            if len(fp) and (not len(cuts) or cuts[0] > 0):
-                end = cuts[0] if len(cuts) else len(fp)
-                kept.append((fp[:end], home[:end]))
-            for i, at in enumerate(cuts):
-                if kept:
-                    groups.append(tuple(np.concatenate(x) for x in zip(*kept)))
-                end = cuts[i + 1] if i + 1 < len(cuts) else len(fp)
-                kept = [(fp[at:end], home[at:end])]
-            if len(fp):
-                last = (part[-1], anchor[-1], salt[-1])
-            yield from flush(groups)
-        if kept:
-            yield from flush([tuple(np.concatenate(x) for x in zip(*kept))])
+            for part, cell, salt, roles, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if (part, cell, salt) != last:
+                    yield from flush()
+                    held, last = [], (part, cell, salt)
+                held.append((roles, data))
+        if held:
+            yield from flush()
 
     return laid.mapInArrow(run, "u long, v long")
 
 
-def distinct(rows: DataFrame) -> DataFrame:
-    """fp, least doc_id, copies and the key of one row for each fingerprint of ``rows``."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
-    g = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), first.alias("first"))
-    return materialize(g.select("fp", "least", "copies", F.col("first.key").alias("key")), "simhash-distinct")
+def measured(docs: DataFrame, shingle: int) -> DataFrame:
+    """key, doc_id, and of the distinct shingles two fingerprints, their node and the number, per row."""
 
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                h = np.unique(shingle_hashes(t, shingle))
+                out.append((majority(h), majority(scatter(h)), len(h)))
+            fp, second, size = (np.array([x[k] for x in out], np.uint64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x) for x in (fp.view(np.int64), second.view(np.int64), node(fp, second), size.astype(np.int64))]], ["key", "doc_id", "fp", "second", "node", "size"])
 
-def _roots(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp, least, copies and root for each fingerprint of ``own``."""
-    found = materialize(components(edges).withColumnRenamed("node", "fp"), "simhash-components")
-    return own.join(found, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    return docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, second long, node long, size long")
 
 
-def similar(docs: DataFrame, own: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges u, v that join all fingerprints of a group whose texts are similar, if need be by others.
+def similar(docs: DataFrame, wanted: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges u, v that join all nodes of a group whose texts are similar, if need be by others.
 
-    ``groups`` (fp, root) are sets of candidates; a text stands for each
-    fingerprint. All pairs of a group are looked at: a group of more than
-    2048 texts or a million shingles is dealt to blocks, and each pair of
+    ``wanted`` (node, root, key): groups of candidates, and the row whose text
+    stands for each node. All pairs of a group are looked at: a group of more
+    than 2048 texts or a million shingles is dealt to blocks, and each pair of
     blocks is a task's work of its own. Only similar pairs become edges, at
     most one for each text in a pair of blocks.
     """
-    wanted = materialize(groups.join(own.select("fp", "key"), "fp"), "simhash-wanted")
 
     def run(batches):
         for b in batches:
-            sets = [sorted(shingles(t, shingle)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["fp", "root", "s"])
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "s"])
 
-    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("fp", "root", "text")
-    sets = materialize(texts.mapInArrow(run, "fp long, root long, s array<long>").dropDuplicates(["fp"]), "simhash-sets")
+    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("node", "root", "text")
+    sets = materialize(texts.mapInArrow(run, "node long, root long, s array<long>").dropDuplicates(["node"]), "simhash-sets")
     many = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / 2048, F.sum(F.size("s")) / (1 << 20))).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = sets.join(F.broadcast(many), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "s")
+    dealt = sets.join(many, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "s")
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        fp, block, s = t["fp"].to_numpy(), t["block"].to_numpy(), t["s"].combine_chunks()
+        names, block, s = t["node"].to_numpy(), t["block"].to_numpy(), t["s"].combine_chunks()
         e = similar_pairs(s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()), block if t["lo"][0] != t["hi"][0] else None, similarity)
-        return pa.table({"u": fp[[i for i, _ in e]], "v": fp[[j for _, j in e]]})
+        return pa.table({"u": names[[i for i, _ in e]], "v": names[[j for _, j in e]]})
 
     return cells.groupBy("root", "lo", "hi").applyInArrow(solve, "u long, v long")
 
@@ -317,11 +415,7 @@ def similar_pairs(flat: np.ndarray, sizes: np.ndarray, block: np.ndarray | None,
 
 def shingles(text: str | None, shingle: int) -> set[int]:
     """Hashes (signed) of the distinct word shingles."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return set()
-    runs = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    return set(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64).view(np.int64).tolist())
+    return set(shingle_hashes(text, shingle).view(np.int64).tolist())
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) -> DataFrame:
@@ -333,36 +427,46 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, threshold: int = 4) ->
     Fingerprints link at ``threshold`` or fewer differing bits, and
     component_id is the smallest doc_id that links reach, itself included;
     null doc_ids don't count unless a component has no other. Copies share a
-    fingerprint and are not expanded into pairs. Repeated rows are kept.
+    fingerprint and are not expanded into pairs. Repeated rows are kept, texts
+    are read whole, other columns are not looked at. Empty input gives no rows.
 
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    own = distinct(rows)
-    rooted = _roots(own, links(own, threshold))
+    own = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = materialize(components(links(own, threshold)).withColumnRenamed("node", "fp"), "simhash-components")
+    rooted = own.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 8, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 14, both: int = 30, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, without all but one of each near-duplicate group.
 
-    Fingerprints that links within ``threshold`` bits join are candidates, all
-    with all; they link if their texts have a Jaccard similarity of word
-    shingles of ``similarity`` or more. Equal fingerprints are linked as they are. The smallest doc_id of a
-    group stays (a null one only if there is no other; among rows that share
-    it the one with the least hash, once). Rows without words form a group.
+    Texts link if the Jaccard similarity of their sets of word shingles is
+    ``similarity`` or more. Candidates are what fingerprints within
+    ``threshold`` bits join (within ``both`` bits of two fingerprints, and
+    with numbers of shingles that allow the similarity), all with all. Texts
+    at 0.8 differ in about 15 % of the bits, so 14 and 30 bits hold 19 of 20
+    such pairs, and more of closer ones. Texts that agree in both
+    fingerprints are linked as they are. The smallest doc_id of a group stays
+    (a null one only if there is no other; among rows that share it the one
+    with the least hash, once).
+
+    Null and empty texts, and those without words, form a group. Repeated rows
+    are copies. Columns may have any names. Empty input gives no rows.
     """
-    rows = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    own = distinct(rows)
-    groups = materialize(components(links(own, threshold)).withColumnRenamed("node", "fp"), "simhash-groups")
-    rooted = materialize(_roots(own, similar(docs, own, groups, shingle, similarity)).select("fp", "root"), "simhash-roots")
+    rows = materialize(measured(docs, shingle), "simhash-measured")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
-    first = rows.groupBy("fp").agg(best.alias("first")).join(rooted, "fp")
-    stay = materialize(first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key")), "simhash-stay")
-    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(stay, "_key")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    own = materialize(rows.groupBy("node").agg(best.alias("first"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("size").alias("size")), "simhash-distinct")
+    groups = materialize(components(links(own, threshold, both, similarity)), "simhash-groups")
+    wanted = materialize(groups.join(own.select("node", F.col("first.key").alias("key")), "node"), "simhash-wanted")
+    linked = materialize(components(similar(docs, wanted, shingle, similarity)), "simhash-components")
+    stay = own.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    stay = materialize(stay.select(F.col("first.key").alias("_key")), "simhash-stay")
+    rows = docs.select(row_key("doc_id", "text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(stay, "_key").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op8_simhash(spark, sf_dir):

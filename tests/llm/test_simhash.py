@@ -35,10 +35,11 @@ def test_against_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("n,threshold", [(1, 4), (1 << 19, 4), (1 << 22, 5), (1 << 30, 4), (1, 7)])
+@pytest.mark.parametrize("n,threshold", [(1, 4), (1 << 19, 4), (1 << 22, 5), (1 << 30, 4), (1, 7), (1, 14), (300_000, 14), (1 << 23, 14)])
 def test_every_close_pair_meets_at_a_home(n, threshold):
     r = random.Random(n)
-    starts, covers = simhash.choose_cover(n, threshold)
+    starts, covers, blocks = simhash.choose_cover(n, threshold)
+    assert all(7 in c.sizes for c in covers) and sum(c.threshold + 1 for c in covers) > threshold
     for _ in range(60):
         a = r.getrandbits(64)
         b = a
@@ -46,21 +47,68 @@ def test_every_close_pair_meets_at_a_home(n, threshold):
             b ^= 1 << bit
         met = False
         for at, cover in zip(starts, covers):
-            mask = (1 << sum(cover.sizes)) - 1
-            home = int(cover.homes(np.array([a >> at & mask], np.uint64))[0])
-            met |= home in cover.anchors(b >> at & mask)
+            x, y = (simhash._part(np.array([v], np.uint64), at, cover) for v in (a, b))
+            home = int(cover.homes(x)[0])
+            row, anchor, flips = cover.anchors(y)
+            met |= home in anchor.tolist()
+            assert len(set(anchor.tolist())) == len(anchor) and int(anchor[flips == 0][0]) == int(cover.homes(y)[0])
         assert met
 
 
-def test_replication_lists_the_anchors(spark):
-    starts, covers = simhash.choose_cover(1, 4)
-    fps = [0, 5, (1 << 63) - 1, -1, 123456789123]
-    got = simhash.replicate(spark.createDataFrame([(x,) for x in fps], "fp long"), starts, covers).collect()
-    for x in fps:
-        for part, (at, cover) in enumerate(zip(starts, covers)):
-            mask = (1 << sum(cover.sizes)) - 1
-            mine = [g for g in got if g.fp == x and g.part == part]
-            assert {g.anchor for g in mine} == cover.anchors((x % (1 << 64)) >> at & mask) and sum(g.home for g in mine) == 1 and len(mine) == len({g.anchor for g in mine})
+@pytest.mark.parametrize("bits,codes,threshold", [(9, 1, 2), (10, 1, 1), (8, 0, 3), (14, 2, 2)])
+def test_anchors_are_the_homes_in_reach(bits, codes, threshold):
+    cover = simhash.Cover(bits, codes, threshold)
+    r = random.Random(bits)
+    values = np.arange(1 << bits, dtype=np.uint64)
+    home = cover.homes(values)
+    for x in r.sample(range(1 << bits), 12):
+        near = np.bitwise_count(values ^ np.uint64(x)) <= threshold
+        row, anchor, _ = cover.anchors(np.array([x], np.uint64))
+        assert set(anchor.tolist()) == set(home[near].tolist()) and len(anchor) == len(set(anchor.tolist()))
+        for blocks in range(1, len(cover.sizes)):  # by way of the cells
+            mask = np.uint64((1 << sum(cover.sizes[:blocks])) - 1)
+            _, cells, _ = cover.anchors(np.array([x], np.uint64), blocks)
+            assert set(cells.tolist()) == set((anchor & mask).tolist())
+            inside = [cover.anchors(np.array([x], np.uint64), blocks, np.array([c], np.uint64))[1].tolist() for c in cells]
+            assert sorted(a for some in inside for a in some) == sorted(anchor.tolist())
+    every, _, _ = cover.anchors(values)
+    assert abs(len(every) / len(values) - cover.reach()) < 1e-9 and len(np.unique(home)) == cover.count()
+
+
+@pytest.mark.parametrize("cell", [1 << 17, 6])
+def test_links_hold_all_pairs(spark, monkeypatch, cell):
+    """Against all pairs, plain and with second fingerprints and sizes, with split cells too."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    r = random.Random(4)
+    fps = []
+    for _ in range(25):
+        a, b = r.getrandbits(64), r.getrandbits(64)
+        fps.append((a, b, r.randint(50, 70)))
+        for _ in range(5):
+            flip = lambda x, k: x ^ sum(1 << i for i in r.sample(range(64), k))
+            fps.append((flip(a, r.randint(1, 14)), flip(b, r.randint(0, 20)), r.randint(50, 70)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(a), signed(b), s) for a, b, s in fps], "fp long, second long, size long").repartition(3)
+
+    def groups(edges, names):
+        part = {k: k for k in names}
+        for u, v in edges:
+            x, y = part[u], part[v]
+            part = {k: min(x, y) if p in (x, y) else p for k, p in part.items()}
+        return part
+
+    names = [signed(a) for a, _, _ in fps]
+    near = [(names[i], names[j]) for i in range(len(fps)) for j in range(i) if (fps[i][0] ^ fps[j][0]).bit_count() <= 6]
+    assert groups([tuple(x) for x in simhash.links(df, 6).collect()], names) == groups(near, names)
+    names = simhash.node(np.array([a for a, _, _ in fps], np.uint64), np.array([b for _, b, _ in fps], np.uint64)).tolist()
+    near = [
+        (names[i], names[j])
+        for i in range(len(fps))
+        for j in range(i)
+        if (d := (fps[i][0] ^ fps[j][0]).bit_count()) <= 14 and d + (fps[i][1] ^ fps[j][1]).bit_count() <= 30 and min(fps[i][2], fps[j][2]) >= 0.8 * max(fps[i][2], fps[j][2])
+    ]
+    got = [tuple(x) for x in simhash.links(df, 14, 30, 0.8).collect()]
+    assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in near} and groups(got, names) == groups(near, names)
 
 
 def test_components(spark):
@@ -109,9 +157,41 @@ def test_only_similar_texts_are_dropped(spark):
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
     for k in set(range(len(rows))) - kept:
         assert any(alike(k, j) for j in range(len(rows)) if j != k)
-    for base in range(0, len(rows), 4):
-        assert base in kept and base + 3 in kept
-    assert sum(k % 4 in (1, 2) for k in kept) <= 12
+    part = plain_groups(sets)
+    assert kept == {min(k for k in range(len(rows)) if part[k] == p) for p in set(part)}
+
+
+@pytest.mark.parametrize("words", [60, 150, 400])
+def test_pairs_at_the_similarity_are_found(spark, words):
+    """At least 0.9 of pairs of 0.8 to 0.85, of words changed here and there and of parts cut off."""
+    r = random.Random(words)
+    pairs = []
+    while len(pairs) < 200:
+        w = [f"w{r.randrange(4000)}" for _ in range(words)]
+        v = list(w)
+        if len(pairs) % 2:
+            for k in r.sample(range(words), r.randint(1, words // 30)):
+                v[k] = f"n{r.random()}"
+        else:
+            v = v[: words - r.randint(words // 8, words // 4)]
+        a, b = (simhash.shingles(" ".join(x), 5) for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            pairs.append((" ".join(w), " ".join(v)))
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.keep_one(df).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    found = sum(2 * i + 1 not in kept for i in range(len(pairs)))
+    print("found", words, found)
+    assert found >= 180
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    long = " ".join(f"w{i % 70001}" for i in range(300_000))
+    rows = [(1, long, 1, 2, 3), (2, long + " end", 1, 2, 3), (3, "short", None, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, fp long, `node.x` long")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == [1, 3]
+    assert len({x.component_id for x in simhash.near_duplicates(df).collect()}) == 2
 
 
 def test_link_group_spans_what_is_linked():
@@ -152,7 +232,7 @@ def test_one_of_each_group_of_many_near_copies_stays(spark):
         rows.append(" ".join(v))
     part = plain_groups([simhash.shingles(t, 5) for t in rows])
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    kept = [x.doc_id for x in simhash.keep_one(df, threshold=12).collect()]
+    kept = [x.doc_id for x in simhash.keep_one(df).collect()]
     assert sorted(kept) == sorted({part.index(p) for p in part})
 
 
