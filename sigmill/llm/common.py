@@ -52,6 +52,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def struct_of(columns: list[str]) -> Column:
+    """The columns (of any names) as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and ``row``: all columns of ``docs`` as a struct, so that none clashes with others."""
+    return docs.select("doc_id", "text", struct_of(docs.columns).alias("row"))
+
+
 def row_key(*columns: str) -> Column:
     """Identity of an input row: equal only for rows equal in ``columns``."""
     return F.xxhash64(*[F.col(c) for c in columns])

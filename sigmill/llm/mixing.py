@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize
+from .common import WORD, documents, materialize, struct_of
 
 
 def word_count(text: str = "text"):
@@ -142,10 +142,14 @@ def draw(docs: DataFrame, **how) -> DataFrame:
     copies with a carry: along a shard, ordered by size, copies are where the
     running sum of shares from a seeded start passes a whole number. A row is
     drawn its share of times on average, and a shard's words are off by at
-    most two of its longest rows. Rows without words have nothing to take and
-    go. Rows equal in all columns (none may be a map) count together.
+    most two of its longest rows. Rows without words (null and empty texts
+    too) have nothing to take and go; a null source is a source of its own; a
+    null doc_id is like any other. Rows equal in all columns (none may be a
+    map) count together. Columns may have any names. Empty input gives no
+    rows.
     """
-    own = docs.withColumn("_key", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.xxhash64(*[x for c in columns for x in (c, c.isNull())]).alias("_key"), "text", "source", struct_of(docs.columns).alias("_row"))
     mixed = _mixed(own.select(F.col("_key").alias("doc_id"), "text", "source"), **how)
     one = 1 << 32  # a whole copy; shares are whole numbers, so sums are exact in any order
     share = F.floor(F.sum("taken") / F.sum("size") * F.count(F.lit(1)) * one + 0.5).cast("long")
@@ -155,9 +159,9 @@ def draw(docs: DataFrame, **how) -> DataFrame:
     upto = rows.withColumn("_to", F.sum("_share").over(line) + start)
     times = upto.select("_key", "_rows", (F.shiftright("_to", 32) - F.shiftright(F.col("_to") - F.col("_share"), 32)).cast("int").alias("_times"))
     times = materialize(times.where("_times > 0"), "mix-times")
-    drawn = own.join(times, "_key")
+    drawn = own.select("_key", "_row").join(times, "_key")
     drawn = drawn.where("_rows = 1").unionByName(drawn.where("_rows > 1").dropDuplicates(["_key"]))
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 
 
 def op1_mixing(spark, sf_dir):

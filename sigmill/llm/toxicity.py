@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import documents, materialize
+from .common import documents, materialize, struct_of
 from .features import NAMES, Scale, dense, sigmoid, tokens
 
 
@@ -218,8 +219,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...]
                 kept = b.column(0).slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([kept.field(f.name) for f in fields] + [pa.array(p[:, i]) for i in range(p.shape[1])] + [pa.array(p[:, -1] > model.cut)], [*[f.name for f in fields], *results])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"p_{c} double" for c in categories] + ["toxic_flag boolean"])
-    return docs.select(F.struct(*[f.name for f in fields]).alias("_kept"), F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = StructType([*fields, *[StructField(f"p_{c}", DoubleType()) for c in categories], StructField("toxic_flag", BooleanType())])
+    return docs.select(struct_of([f.name for f in fields]).alias("_kept"), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:

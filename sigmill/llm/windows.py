@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import join_unique, materialize, row_key, shuffle_count
+from .common import join_unique, materialize, row_key, shuffle_count, struct_of
 
 #: Contexts of one anchor that a solver takes together; beyond, step 4.
 GROUP_CAP = 1 << 15
@@ -271,7 +272,7 @@ class Windows:
 def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], result: str, cut: Callable) -> DataFrame:
     """cut(text, merged spans) -> tuple for every row of ``docs``; ``keep``: columns carried through."""
     fields = [f for f in docs.schema.fields if f.name in keep]
-    given = docs.select(row_key("doc_id", "text").alias("_key"), F.col("text").alias("_text"), F.struct(*keep).alias("_kept"))
+    given = docs.select(row_key("doc_id", "text").alias("_key"), F.col("text").alias("_text"), struct_of(keep).alias("_kept"))
     joined = given.join(spans.select(F.col("key").alias("_key"), "spans"), "_key", "left").select("_kept", "_text", "spans")
     names = [f.name for f in fields] + [x.split()[0] for x in result.split(", ")]
     if len(set(names)) < len(names):
@@ -286,5 +287,6 @@ def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], result: str,
             yield pa.RecordBatch.from_arrays([kept.field(f.name) for f in fields] + found, names)
 
     types = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in result.split(", ")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [result])
+    kinds = {"long": LongType(), "string": StringType()}
+    schema = StructType([*fields, *[StructField(x.split()[0], kinds[x.split()[1]]) for x in result.split(", ")]])
     return joined.mapInArrow(run, schema)

@@ -22,3 +22,20 @@ def test_empty(spark):
     none = corpus_pipeline.documents(spark, SF).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """Names that the stages use themselves, nulls in all columns, repeated rows."""
+    from pyspark.sql import functions as F
+
+    docs = corpus_pipeline.documents(spark, SF).limit(60)
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
+    for c in ("toxic_flag", "p_toxic", "row", "_key", "_row", "_times", "_copy", "n_bytes", "n_removed", "kept_text", "size", "fp", "a.b", "h", "shard", "key", "spans"):
+        docs = docs.withColumn(c, F.lit(None).cast("long") if c == "h" else F.col("doc_id") * 2)
+    docs = materialize(docs, "test-odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = materialize(stage(spark, docs, SF), "test-odd")
+        assert docs.columns == columns
+        assert docs.where("`a.b` is distinct from doc_id * 2 or _key is distinct from doc_id * 2 or `row` is distinct from doc_id * 2").count() == 0
+    assert docs.count() > 0 and corpus_pipeline.pack(spark, docs, SF).count() > 0
