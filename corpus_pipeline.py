@@ -1,14 +1,19 @@
 """A corpus pipeline of five stages, each one operator of ``sigmill.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next stage's docs.
+written as Parquet and read again as the next stage's docs. ``docs`` needs
+doc_id, text and source; columns of any other names go along, and none clashes
+with what a stage makes. Null and empty texts are not toxic, near-duplicates of
+one another (one stays), left as they are by the cuts, and not drawn, as they
+have no words. A null doc_id or source is a value like any other. Repeated rows
+are copies: one stays. Empty documents give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import documents, materialize
+from sigmill.llm.common import documents, materialize, whole_rows
 from sigmill.llm.mixing import draw
 from sigmill.llm.packing import pack_documents
 from sigmill.llm.simhash import keep_one
@@ -19,22 +24,19 @@ from sigmill.llm.toxicity import chain_labels, toxicity
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier chain finds toxic go."""
     labels = chain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = toxicity(docs, labels, keep=tuple(docs.columns))
-    return judged.where(~F.col("toxic_flag")).select(*docs.columns)
+    return toxicity(whole_rows(docs), labels, keep=("row",)).where(~F.col("toxic_flag")).select("row.*")
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of each group with a similarity of 0.8 or more stays."""
-    return keep_one(docs, shingle=5, threshold=8, similarity=0.8)
+    return keep_one(docs, shingle=5, similarity=0.8)
 
 
 def cut_repeats(spark, docs, sf_dir):
     """Bytes of 200-byte strings that occur elsewhere are cut; n_chars follows."""
-    cut = remove_repeats(docs, length=200, keep=tuple(docs.columns))
-    texts = {"text": F.col("kept_text")}
-    if "n_chars" in docs.columns:
-        texts["n_chars"] = F.char_length("kept_text").cast("long")
-    return cut.withColumns(texts).select(*docs.columns)
+    cut = remove_repeats(whole_rows(docs), length=200, keep=("row",))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark, docs, sf_dir):
