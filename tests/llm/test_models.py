@@ -120,7 +120,8 @@ def test_quality_rules(spark):
         n = brute.repeat_words(w)
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), n)
         assert x.base_failed == (len(w) < 50 or 100 * n > 50 * len(w)) and not (x.base_failed and x.kept)
-    assert all(by[k].kept == (bool(q) and not by[k].base_failed) for k, _, q, _ in rows)
+    wrong = [k for k, _, q, _ in rows if by[k].kept != (bool(q) and not by[k].base_failed)]
+    assert len(wrong) <= 12  # of 250, learned from 90 and a threshold set by 30
     assert quality_rules.judge(docs.where("doc_id = -1"), labels).count() == 0
     none = quality_rules.judge(docs, labels.where("doc_id = -1"))
     assert none.where("score <> 0").count() == 0
@@ -129,21 +130,24 @@ def test_quality_rules(spark):
 def test_scores_equal_a_plain_count(spark):
     rows = corpus(4, 60)
     docs, labels = frames(spark, rows, 40)
-    got = {x.doc_id: x.score for x in quality_rules.judge(docs, labels, buckets=64, trusted=15).collect()}
-    ids = spark.createDataFrame([(k,) for k, *_ in rows[:40] if rows[k][2] == 1 and k != 1 or k == 1 and rows[1][2] == 1], "doc_id long")
-    top = {x.doc_id for x in ids.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(15).collect()}
+    got = {x.doc_id: x for x in quality_rules.judge(docs, labels, buckets=64, trusted=25, lost=0.2).collect()}
+    ids = spark.createDataFrame([(k,) for k, *_ in rows[:40] if rows[k][2] == 1], "doc_id long").withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
+    top = {x.doc_id: x.h % 4 == 0 for x in ids.orderBy("h", "doc_id").limit(25).collect()}
     words = [(k, i, w.decode()) for k, t, *_ in rows for i, w in enumerate(brute.words(t))] + [(9_000_001, 0, "one")]
     df = spark.createDataFrame(words, "k long, i int, w string")
-    b = df.select("k", "i", F.pmod(F.xxhash64(F.substring("w", -3, 3)), F.lit(64)).alias("b1"), F.substring("w", -3, 3).alias("e"))
-    pairs = b.alias("a").join(b.alias("c"), (F.col("a.k") == F.col("c.k")) & (F.col("c.i") == F.col("a.i") + 1)).select(F.col("a.k").alias("k"), F.pmod(F.xxhash64("a.e", "c.e"), F.lit(64)).alias("b1"))
+    b = df.select("k", "i", F.pmod(F.xxhash64("w"), F.lit(64)).alias("b1"), "w")
+    pairs = b.alias("a").join(b.alias("c"), (F.col("a.k") == F.col("c.k")) & (F.col("c.i") == F.col("a.i") + 1)).select(F.col("a.k").alias("k"), F.pmod(F.xxhash64("a.w", "c.w"), F.lit(64)).alias("b1"))
     grams = [(x.k, x.b1) for x in b.select("k", "b1").unionAll(pairs).collect()]
     raw, good = np.ones(64), np.ones(64)
     for k, g in grams:
         raw[g] += 1
-        good[g] += k in top
+        good[g] += not top.get(k, True)
     ratio = np.log(good / good.sum() / (raw / raw.sum()))
-    for k in (3, 17, 42):
-        assert got[k] == pytest.approx(np.mean([ratio[g] for j, g in grams if j == k]))
+    score = {k: np.mean([ratio[g] for j, g in grams if j == k]) for k, *_ in rows}
+    assert all(got[k].score == pytest.approx(score[k]) for k in score)
+    least = np.quantile([score[k] for k, aside in top.items() if aside], 0.2)
+    assert sum(top.values()) > 2 and any(not x.kept and not x.base_failed for x in got.values())
+    assert all(got[k].kept == (not got[k].base_failed and score[k] >= least - 1e-12) for k in score)
 
 
 def test_repeats_with_few_and_many(spark):
