@@ -6,7 +6,9 @@ slices are added with bitmap arithmetic (full adders on whole bitmaps), each
 as often as the query's quantised weight says, which leaves the slices of all
 scores. From the most significant slice downward these give the k-th highest
 quantised score of each query; rows that the quantisation might have put on
-the wrong side of it are resolved by exact integer products.
+the wrong side of it are resolved by exact integer products. What a query has
+found in earlier blocks bounds later ones: rows that cannot reach its k-th
+best are left out by the same slices, whole blocks by the lengths of vectors.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_count
 
-BLOCK = 4096
+#: Rows of an index; rows and queries that meet in a task.
+BLOCK, ROWS, QUERIES = 1 << 12, 1 << 16, 1 << 14
 _U = np.uint64
 
 
@@ -107,13 +110,13 @@ class Index:
             place += 1
         return out, plus
 
-    def search(self, queries: np.ndarray, skip: list[np.ndarray], k: int) -> list[np.ndarray]:
-        """Rows that may be among the k best of each query; skip[q]: rows that take no part."""
+    def search(self, queries: np.ndarray, own: list[np.ndarray], k: int, least: np.ndarray) -> list[np.ndarray]:
+        """Rows that may be among the k best of each query and reach ``least``; own[q]: rows that take no part."""
         q = Quantised(queries, self.bits)
-        slices, _ = self.scores(q.codes)
+        slices, plus = self.scores(q.codes)
         n = len(self.values)
         alive = np.repeat(self.all[None, :], len(queries), 0)
-        for j, some in enumerate(skip):
+        for j, some in enumerate(own):
             for r in some:
                 alive[j, r >> 6] &= ~(_U(1) << _U(r & 63))
         counts = np.bitwise_count(alive).sum(1).astype(np.int64)
@@ -129,8 +132,10 @@ class Index:
         # a row's exact score is off by at most |q| |row error| + |q error| |row code|
         unit = self.q.unit * q.unit
         off = q.norm * self.q.error.max(initial=0.0) + q.error * (self.q.norm + self.q.error).max(initial=0.0)
-        floor = np.maximum(0, kth - np.ceil(2 * off / unit).astype(np.int64) - 1)
-        floor = np.where(counts <= k, 0, floor)
+        floor = np.where(counts <= k, 0, kth - np.ceil(2 * off / unit).astype(np.int64) - 1)
+        reach = np.ceil(np.maximum((least - off) / unit, -(2.0**60))).astype(np.int64) - plus - 1
+        floor = np.maximum(0, np.maximum(floor, reach))
+        alive[floor >= 1 << len(slices)] = 0
         # rows with at least that score, by comparing slices with its bits
         more, same = np.zeros_like(alive), alive.copy()
         for p in range(len(slices) - 1, -1, -1):
@@ -143,18 +148,32 @@ class Index:
     bits = 6
 
 
-def top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, batch: int = 64):
-    """Exact (query_id, id, score) of the k best rows of one block for each query."""
-    index = Index(values)
-    order = np.argsort(ids, kind="stable")
-    for lo in range(0, len(queries), batch):
-        q, names = queries[lo : lo + batch], query_ids[lo : lo + batch]
-        left, right = np.searchsorted(ids[order], names, "left"), np.searchsorted(ids[order], names, "right")
-        own = [order[a:b] for a, b in zip(left, right)]
-        for name, vector, rows in zip(names, q, index.search(q, own, k)):
-            score = values[rows] @ vector
-            best = np.lexsort((ids[rows], -score))[:k]
-            yield from ((int(name), int(ids[rows[i]]), int(score[i])) for i in best)
+def top_k(query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, block: int = BLOCK, batch: int = 64):
+    """Exact (query row, id, score) of the k best rows for each query.
+
+    ``query_rows`` and ``rows`` number the rows of the input, so that a query
+    does not meet itself; ``block`` rows at a time are indexed.
+    """
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, id), ascending
+    least = np.full(len(queries), -np.inf)
+    norm = np.sqrt((queries.astype(float) ** 2).sum(1))
+    for at in range(0, len(values), block):
+        index = Index(values[at : at + block])
+        names, numbers = ids[at : at + block], rows[at : at + block]
+        order = np.argsort(numbers, kind="stable")
+        open_ = np.flatnonzero(norm * index.q.norm.max(initial=0.0) * (1 + 1e-9) + 1 >= least)
+        for lo in range(0, len(open_), batch):
+            some = open_[lo : lo + batch]
+            left, right = (np.searchsorted(numbers[order], query_rows[some], side) for side in ("left", "right"))
+            own = [order[a:b] for a, b in zip(left, right)]
+            for j, fit in zip(some.tolist(), index.search(queries[some], own, k, least[some])):
+                if len(fit):
+                    score = index.values[fit] @ queries[j]
+                    top = np.lexsort((names[fit], -score))[:k]
+                    best[j] = sorted(best[j] + [(-int(score[i]), int(names[fit[i]])) for i in top])[:k]
+                    if len(best[j]) == k:
+                        least[j] = -best[j][-1][0]
+    return [(int(row), name, -score) for row, some in zip(query_rows, best) for score, name in some]
 
 
 def quantise(vectors: DataFrame, scale: int) -> DataFrame:
@@ -164,29 +183,37 @@ def quantise(vectors: DataFrame, scale: int) -> DataFrame:
     return vectors.where(good).select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
-def search(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256, block: int = BLOCK, rows_a_task: int = ROWS, queries_a_task: int = QUERIES) -> DataFrame:
     """The k best rows of ``vectors`` (vec_id, embedding) for each query, by integer inner product.
 
     Queries: rows whose vec_id is divisible by ``every``; candidates: every
-    row with another vec_id; ties go to the smaller vec_id; fewer than k rows
-    give fewer results. Vectors that are null or hold a null or non-finite
-    component, or have a null vec_id, take no part; vectors of different
-    lengths are compared as if padded with zeros. Rows that repeat a vec_id
-    count once (the smallest vector). Empty input gives no rows.
-
-    Blocks of rows meet queries, which are dealt to every block in batches of
-    bounded size, so a task holds one block and one batch at a time. Sums must
-    stay within 62 bits.
+    row but the query's own, rows that repeat its vec_id included; ties go to
+    the smaller vec_id; fewer than k rows give fewer results. Queries that
+    share a vec_id each have results. Vectors that are null or hold a null or
+    non-finite component, or have a null vec_id, take no part; vectors of
+    different lengths are compared as if padded with zeros. Raises ValueError
+    if a score might exceed 62 bits. Other columns are not looked at. Empty
+    input gives no rows.
+
+    Rows are dealt by a hash to groups of about ``rows_a_task`` (fewer where
+    that leaves tasks idle), queries to groups of ``queries_a_task``, and each
+    pair of groups is a task's work: it indexes ``block`` rows at a time.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
-    rows = quantise(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = materialize(rows, "topk-rows")
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    blocks, width = max(1, -(-n // block)), int(width or 0)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = materialize(quantise(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "topk-rows")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    n, width, most, queries = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(most), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
+    width = int(width or 0)
+    if width * float(most or 0) ** 2 >= 2.0**62:
+        raise ValueError("components are too large for 62-bit scores")
+    groups = max(1, -(-n // rows_a_task), min(-(-n // block), shuffle_count(vectors.sparkSession)))
+    batches = max(1, -(-queries // queries_a_task))
+    of = lambda many, salt: F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(many)).cast("int")
+    every_one = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    dealt = rows.select("row", "vec_id", "v", of(groups, 1).alias("group"), every_one(batches).alias("batch"))
+    asked = asked.select("row", "v", of(batches, 2).alias("batch"), every_one(groups).alias("group"))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         flat, size = column.combine_chunks(), len(column)
@@ -202,13 +229,15 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256,
     def solve(table: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
         if table.num_rows and queries.num_rows:
-            found = list(top_k(queries.column("query_id").to_numpy(), matrix(queries.column("v")), table.column("vec_id").to_numpy(), matrix(table.column("v")), k))
+            found = top_k(queries.column("row").to_numpy(), matrix(queries.column("v")), table.column("row").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("v")), k, block)
         columns = list(zip(*found)) or [(), (), ()]
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns)})
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("row", "vec_id", "score"), columns)})
 
-    best = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = dealt.groupBy("group", "batch").cogroup(asked.groupBy("group", "batch")).applyInArrow(solve, "row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = rows.select("row", F.col("vec_id").alias("query_id"))
+    return best.join(names, "row").select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark, sf_dir):
@@ -216,11 +245,11 @@ def op3_topk(spark, sf_dir):
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-long AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-           FROM long q JOIN long c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+long AS (SELECT r, vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
+scored AS (SELECT q.r AS qr, q.vec_id AS query_id, c.r AS cr, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+           FROM long q JOIN long c ON q.i = c.i AND q.r <> c.r WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

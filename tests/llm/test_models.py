@@ -166,21 +166,43 @@ def vectors(seed, n=400, d=9):
     return rows + [(n, None), (n + 1, [None] * d), (n + 2, [float("nan")] * d), (n + 3, [float("inf")] * d), (None, rows[0][1]), rows[0], (n + 50, rows[0][1][:4])]
 
 
-@pytest.mark.parametrize("block", [4096, 64])
-def test_top_k_is_exact(spark, block):
+@pytest.mark.parametrize("how", [{}, {"block": 64}, {"block": 32, "rows_a_task": 100, "queries_a_task": 7}])
+def test_top_k_is_exact(spark, how):
     rows = vectors(1)
-    df = spark.createDataFrame([(*x, 0) for x in rows], "vec_id long, embedding array<float>, rank int")
-    got = sorted(tuple(x) for x in topk.search(df, every=20, k=5, block=block).collect())
-    q = {k: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for k, v in rows if k is not None and v is not None and None not in v and np.isfinite(v).all()}
-    q = {k: np.pad(v, (0, 9 - len(v))) for k, v in q.items()}
+    df = spark.createDataFrame([(*x, 0, 0) for x in rows], "vec_id long, embedding array<float>, rank int, row int")
+    got = sorted(tuple(x) for x in topk.search(df, every=20, k=5, **how).collect())
+    q = [(k, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for k, v in rows if k is not None and v is not None and None not in v and np.isfinite(v).all()]
+    q = [(k, np.pad(v, (0, 9 - len(v)))) for k, v in q]
     want = []
-    for a in q:
+    for i, (a, x) in enumerate(q):
         if a % 20 == 0:
-            best = sorted(((-int(q[a] @ q[b]), b) for b in q if b != a))[:5]
-            want += [(a, i + 1, b, -s) for i, (s, b) in enumerate(best)]
+            best = sorted((-int(x @ y), b) for j, (b, y) in enumerate(q) if i != j)[:5]
+            want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best)]
+    assert sum(a == 0 for a, *_ in want) == 10  # a repeated row is a query and a candidate of its own
     assert got == sorted(want)
 
 
+def test_top_k_with_long_tails_and_negatives():
+    """Scores of all signs and sizes over many blocks, where earlier blocks bound later ones."""
+    r = np.random.default_rng(4)
+    for scale in (1, 3, 500, 40_000):
+        v = np.rint(r.standard_t(2, (700, 5)) * scale).astype(np.int64)
+        v[:300] -= 7 * scale
+        rows, ids = np.arange(700), r.permutation(700) // 2
+        got = topk.top_k(rows[::9], v[::9], rows, ids, v, 4, block=50, batch=8)
+        want = []
+        for i in range(0, 700, 9):
+            s = v @ v[i]
+            want += [(i, b, -a) for a, b in sorted((-int(s[j]), int(ids[j])) for j in range(700) if j != i)[:4]]
+        assert got == want
+
+
+def test_top_k_of_too_large_components(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.search(df)
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (7, [0.5, -1.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk.search(df).collect()] == [(0, 1, 7, 256 * 128 - 512 * 256)]
