@@ -81,5 +81,22 @@ def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     return near.unionByName(far)
 
 
+def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (long) may be among ``keys``, and those whose key surely isn't.
+
+    A bitmap of hashed keys tells them apart: at most 2^27 bits (16 MB), so it
+    can be broadcast whatever the number of keys. Rows of the second kind need
+    no join with a table of these keys, and so no shuffle.
+    """
+    bits = min(27, max(15, int(64 * keys.count()).bit_length()))
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
+    maps = keys.select(place().alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
+    marked = rows.select(struct_of(rows.columns).alias("_all"), F.bitmap_bucket_number(place()).alias("_bucket"), F.bitmap_bit_position(place()).alias("_bit"))
+    marked = marked.join(F.broadcast(maps), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.pmod("_bit", F.lit(8)))).cast("int") % 2 == 1, F.lit(False))
+    return marked.where(found).select("_all.*"), marked.where(~found).select("_all.*")
+
+
 def shuffle_count(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, row_key, shuffle_count
+from .common import documents, materialize, row_key, shuffle_count, split_by_keys, struct_of
 from .graph import components
 
 SEED = 42
@@ -369,7 +369,8 @@ def similar(docs: DataFrame, wanted: DataFrame, shingle: int, similarity: float)
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "s"])
 
-    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("node", "root", "text")
+    texts, _ = split_by_keys(docs.select(row_key("doc_id", "text").alias("key"), "text"), wanted, "key")
+    texts = texts.join(wanted, "key").select("node", "root", "text")
     sets = materialize(texts.mapInArrow(run, "node long, root long, s array<long>").dropDuplicates(["node"]), "simhash-sets")
     many = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / 2048, F.sum(F.size("s")) / (1 << 20))).cast("int").alias("blocks")).where("blocks > 1")
     dealt = sets.join(many, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -459,14 +460,20 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: int = 14, both: in
     """
     rows = materialize(measured(docs, shingle), "simhash-measured")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
-    own = materialize(rows.groupBy("node").agg(best.alias("first"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("size").alias("size")), "simhash-distinct")
+    own = materialize(rows.groupBy("node").agg(best.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("size").alias("size")), "simhash-distinct")
     groups = materialize(components(links(own, threshold, both, similarity)), "simhash-groups")
     wanted = materialize(groups.join(own.select("node", F.col("first.key").alias("key")), "node"), "simhash-wanted")
     linked = materialize(components(similar(docs, wanted, shingle, similarity)), "simhash-components")
-    stay = own.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    stay = materialize(stay.select(F.col("first.key").alias("_key")), "simhash-stay")
-    rows = docs.select(row_key("doc_id", "text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(stay, "_key").dropDuplicates(["_key"]).select("_row.*")
+    own = own.join(linked, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+    groups = own.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
+    groups = materialize(groups.where("copies > 1"), "simhash-groups")
+    touched = own.join(groups.select("root"), "root").select("node")
+    touched = materialize(rows.join(touched, "node").select("key"), "simhash-touched")
+    whole = docs.select(row_key("doc_id", "text").alias("key"), struct_of(docs.columns).alias("row"))
+    maybe, alone = split_by_keys(whole, touched, "key")
+    gone = touched.distinct().join(groups.select(F.col("first.key").alias("key")), "key", "left_anti")
+    kept = maybe.join(materialize(gone, "simhash-gone"), "key", "left_anti").dropDuplicates(["key"])
+    return alone.unionByName(kept).select("row.*")
 
 
 def op8_simhash(spark, sf_dir):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import join_unique, materialize, row_key, shuffle_count, struct_of
+from .common import join_unique, materialize, row_key, shuffle_count, split_by_keys, struct_of
 
 #: Contexts of one anchor that a solver takes together; beyond, step 4.
 GROUP_CAP = 1 << 15
@@ -156,7 +156,8 @@ class Windows:
     def contexts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """Symbols of the contexts in ``wanted`` (one row for each a, s)."""
         per = wanted.groupBy("key").agg(F.collect_list(F.struct("a", "s", "lo", "span", "at")).alias("wants"))
-        rows = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text").join(per, "key")
+        rows, _ = split_by_keys(docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text"), wanted, "key")
+        rows = rows.join(per, "key")
 
         def run(batches):
             names = ["a", "s", "key", "doc_id", "lo", "span", "at", "symbols"]
@@ -241,7 +242,8 @@ class Windows:
         signed = materialize(rows.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key", "lo", "span", "at")).alias("one")), "windows-signed")
         kinds = materialize(signed.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "windows-kinds")
         wanted = join_unique(signed, kinds, ["a"], "k", total).select("a", "s", "k", "one.*")
-        contexts = materialize(self.contexts(docs, wanted.drop("doc_id", "k")), "windows-contexts")
+        wanted = materialize(wanted.drop("doc_id", "k"), "windows-wanted")
+        contexts = materialize(self.contexts(docs, wanted), "windows-contexts")
         parts = []
         large = kinds.where(F.col("k") > cap).select("a")
         if large.isEmpty():
@@ -273,7 +275,9 @@ def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], result: str,
     """cut(text, merged spans) -> tuple for every row of ``docs``; ``keep``: columns carried through."""
     fields = [f for f in docs.schema.fields if f.name in keep]
     given = docs.select(row_key("doc_id", "text").alias("_key"), F.col("text").alias("_text"), struct_of(keep).alias("_kept"))
-    joined = given.join(spans.select(F.col("key").alias("_key"), "spans"), "_key", "left").select("_kept", "_text", "spans")
+    spans = materialize(spans.select(F.col("key").alias("_key"), "spans"), "windows-spans")
+    maybe, never = split_by_keys(given, spans.select("_key"), "_key")
+    joined = maybe.join(spans, "_key", "left").select("_kept", "_text", "spans").unionByName(never.select("_kept", "_text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     names = [f.name for f in fields] + [x.split()[0] for x in result.split(", ")]
     if len(set(names)) < len(names):
         raise ValueError(f"columns to keep clash with results: {names}")
