@@ -271,7 +271,8 @@ def pbo(returns: DataFrame, *, groups: int = 8, own: int = 3, column: str = "net
     best = both.withColumns({"_first": F.row_number().over(w.orderBy(F.col("inside").desc(), key)), "_share": F.cume_dist().over(w.orderBy("outside"))}).where("_first = 1")
     chosen = best.groupBy(key).agg(F.count(F.lit(1)).alias("chosen"), F.count_if(F.col("_share") < 0.5).alias("poor"))
     batch = chosen.agg((F.sum("poor") / F.sum("chosen")).alias("batch"), F.lit(1).alias("_k"))
-    every = returns.select(key).distinct().withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).withColumn("_k", F.lit(1))
+    every = returns.select(key).distinct().withColumn("_k", F.lit(1))
+    every = every.join(F.broadcast(every.agg(F.count(F.lit(1)).alias("_many"), F.lit(1).alias("_k"))), "_k")
     out = every.join(chosen, key, "left").join(batch, "_k", "left")
     rate = F.when(F.col("chosen") >= own, F.col("poor") / F.col("chosen")).otherwise(F.col("batch"))
     return out.select(key, F.when((F.col("_many") < 2) | F.lit(not splits), F.lit(1.0)).otherwise(rate).alias("pbo"))
@@ -290,13 +291,21 @@ def rolling_rank_ic(df: DataFrame, x: str, y: str, *, window: int = 288, least:
 
     def run(pdf):
         pdf = pdf.sort_values(fr.TIME, kind="stable")
-        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        out = np.zeros(len(a))
-        for i in range(least - 1, len(a)):
-            lo = max(0, i - window + 1)
-            s, t = (np.argsort(np.argsort(v[lo : i + 1], kind="stable"), kind="stable") for v in (a, b))
-            m = i + 1 - lo
-            out[i] = 1 - 6 * float(((s - t) ** 2).sum()) / (m * (m * m - 1))
+        out = np.zeros(len(pdf))
+        sides = [pdf[c].to_numpy(float) for c in (x, y)]
+        ranks = lambda v: np.argsort(np.argsort(v, axis=-1, kind="stable"), axis=-1, kind="stable")
+
+        def score(s, t):
+            m = s.shape[-1]
+            return 1 - 6 * ((ranks(s) - ranks(t)) ** 2).sum(-1) / (m * (m * m - 1))
+
+        for i in range(least - 1, min(window - 1, len(out))):
+            out[i] = score(*(v[: i + 1] for v in sides))
+        if len(out) >= window:  # whole windows, many at a time
+            views = [np.lib.stride_tricks.sliding_window_view(v, window) for v in sides]
+            step = max(1, (1 << 20) // window)
+            for lo in range(0, len(views[0]), step):
+                out[window - 1 + lo : window - 1 + lo + step] = score(*(v[lo : lo + step] for v in views))
         return pdf.assign(**{name: out})
 
     own = df.select(*dict.fromkeys([*keys, fr.TIME, x, y]))

@@ -109,7 +109,7 @@ def ic_summary(series: DataFrame) -> DataFrame:
 
     s = series.where("ic is not null").withColumn("_all", F.lit("all"))
     base = s.groupBy("_all").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_vol"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
-    return base.join(newey_west(s, "ic", keys=("_all",)), "_all").drop("_all")
+    return base.join(newey_west(s, "ic", keys=("_all",)).drop("n"), "_all").drop("_all")
 
 
 def pnl_matrix(pnl: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import frames as fr
 
+from .inference import combined_p
+
 NEEDS = {
     "deflated_sharpe_prob": "double", "pbo": "double", "is_ml": "boolean", "fdr_p": "double", "ic_tstat": "double", "rankic_tstat": "double", "ci_low": "double",
     "oos_trades": "long", "break_even_bps": "double", "actual_cost_bps": "double", "prior_posterior_ratio": "double", "capacity_usd": "double", "regime_share": "double",
@@ -20,7 +22,7 @@ NEEDS = {
     "regime_diversity": "double", "max_abs_ic": "double", "max_abs_rankic": "double", "max_abs_spread": "double", "ic_ci_excludes_zero": "boolean",
     "turnover_adjusted_return": "double", "decay_quality": "double", "long_short_spread_sharpe": "double", "regime_conflict": "boolean", "max_abs_regime_ic": "double",
     "max_abs_funding_ic": "double", "gross_sharpe": "double", "net_sharpe": "double", "long_sharpe": "double", "short_sharpe": "double", "turnover": "double",
-    "best_horizon": "long", "lookback": "long", "best_regime": "string", "best_funding_key": "string",
+    "best_horizon": "long", "lookback": "long", "smooth_span": "long", "signal_threshold": "double", "position_buffer": "double", "best_regime": "string", "best_funding_key": "string",
 }
 # Rules that block, and thresholds.
 BLOCKING = ("G1", "G2", "G5", "G8", "G10", "G11", "G14", "G15")
@@ -43,9 +45,10 @@ def gate_items(df: DataFrame) -> list[tuple[str, Column, Column, float | None]]:
     """(rule, passes, value, threshold) of every gate but G14 and G16, in order."""
     c = F.col
     actual = F.greatest(_or("actual_cost_bps", 0), F.lit(1e-12))
+    fdr = F.coalesce("fdr_p", combined_p(c("ic_tstat"), c("rankic_tstat")))  # alone, without a family: the raw p
     return [
         ("G1", _or("deflated_sharpe_prob", 0) >= 0.95, _or("deflated_sharpe_prob", 0), 0.95),
-        ("G3", _or("fdr_p", 1) <= 0.05, _or("fdr_p", 1), 0.05),
+        ("G3", fdr <= 0.05, fdr, 0.05),
         ("G4", _yes(c("ic_tstat") > 2.0), c("ic_tstat"), 2.0),
         ("G4R", _yes(c("rankic_tstat") > 2.0), c("rankic_tstat"), 2.0),
         ("G5", _yes(c("ci_low") > 0), c("ci_low"), 0.0),
@@ -183,10 +186,16 @@ def near_miss(gated: DataFrame, key: str = "experiment_id") -> DataFrame:
     edge = lambda name: _or(name, 0) >= F.greatest(F.lit(0.015), 1.5 * F.greatest(_or("max_abs_ic", 0), F.lit(0.005)))
     best = F.greatest(_or("long_sharpe", 0), _or("short_sharpe", 0))
     weak = underpowered()
+    costly = _yes(c("gross_sharpe") >= 0.5) & ((_or("net_sharpe", 0) <= 0) | _yes(drag >= 0.75) | (cost_margin() < 0))
+    # how many of the calming steps the candidate has taken; the next one, or the second for a high turnover
+    taken = sum(((_or("smooth_span", 1) >= span) & (_or("signal_threshold", 0) >= level) & (_or("position_buffer", 0) >= room)).cast("int") for span, level, room in LOW_TURNOVER_STEPS)
+    saturated = F.greatest(taken, F.when(_or("turnover", 0) >= 0.20, 1).otherwise(0)) >= len(LOW_TURNOVER_STEPS)
     tests = [
         ("statistically_underpowered_survivor", weak),
-        ("cost_destroyed_edge", _yes(c("gross_sharpe") >= 0.5) & ((_or("net_sharpe", 0) <= 0) | _yes(drag >= 0.75) | (cost_margin() < 0))),
+        ("cost_destroyed_edge", costly),
+        ("turnover_repair_saturated", costly & saturated),
         ("excess_turnover", _or("turnover", 0) >= 0.15),
+        ("turnover_repair_saturated", (_or("turnover", 0) >= 0.15) & saturated),
         ("horizon_mismatch", _yes(c("best_horizon") != c("lookback")) & (_or("max_abs_ic", 0) >= 0.01)),
         ("regime_mixing", c("best_regime").isNotNull() & edge("max_abs_regime_ic")),
         ("funding_state_mixing", c("best_funding_key").isNotNull() & edge("max_abs_funding_ic")),

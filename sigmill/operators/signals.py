@@ -21,7 +21,10 @@ REGIME_NUMBER = {"bull": 1, "bear": 2, "sideways": 3, "high_vol": 4}
 
 
 def factor_signal(bars: DataFrame, kind: str, lookback: int, *, name: str = "signal", keys=fr.KEYS) -> DataFrame:
-    """The built-in signals: momentum, mean_reversion, volatility, funding_basis, or deviation from VWAP."""
+    """The built-in signals: momentum, mean_reversion, volatility, funding_basis; any other kind is the deviation from VWAP.
+
+    funding_basis fails, when it is evaluated, for an instrument whose funding is zero throughout.
+    """
     c, n, at = F.col("close"), lookback, fr.line(keys)
     half = lambda z: F.coalesce(fr.tanh(z / 2), F.lit(0.0))
     if kind == "momentum":
@@ -39,13 +42,15 @@ def factor_signal(bars: DataFrame, kind: str, lookback: int, *, name: str = "sig
     if kind == "funding_basis":
         if "funding_zscore" not in bars.columns:
             raise ValueError("funding_basis needs funding_zscore")
-        return bars.withColumn(name, half(-fr.clip(F.col("funding_zscore"), -6, 6)))
-    if kind != "vwap":
-        raise ValueError(f"unknown signal {kind!r}")
-    w = fr.trailing(n, keys)
-    v = fr.divide(fr.full(F.sum("quote_volume"), F.col("quote_volume"), n, w), F.when(F.sum("volume").over(w) > 0, F.sum("volume").over(w)))
-    d = bars.withColumn("_d", fr.divide(c, v) - 1)
-    return d.withColumn(name, half(-fr.zscore(F.col("_d"), n, w))).drop("_d")
+        rate = F.coalesce(fr.finite(F.col("funding_zscore")), F.lit(0.0))
+        some = F.sum(F.abs(rate)).over(fr.whole(keys)) > 1e-12
+        return bars.withColumn(name, F.when(some, half(-fr.clip(rate, -6, 6))).otherwise(F.raise_error(F.lit("funding_basis needs funding that is not zero throughout")).cast("double")))
+    w, long = fr.trailing(n, keys), fr.trailing(4 * n, keys)
+    traded = F.when(fr.full(F.sum("volume"), F.col("volume"), n, w) != 0, F.sum("volume").over(w))
+    v = fr.divide(fr.full(F.sum(c * F.col("volume")), c * F.col("volume"), n, w), traded)
+    d = bars.withColumn("_d", F.coalesce(fr.finite(fr.divide(c, F.when(v != 0, v)) - 1), F.lit(0.0)))
+    s = fr.std(F.col("_d"), 4 * n, long, n)
+    return d.withColumn(name, half(-fr.divide(F.col("_d"), F.when(s > 0, s)))).drop("_d")
 
 
 def smooth(df: DataFrame, column: str, span: int, keys=fr.KEYS) -> DataFrame:

@@ -278,7 +278,7 @@ def _chain(alpha: dict[str, str], seed: str, step: str, columns: str) -> str:
 QUERIES["indicator_ema"] = lambda spark, sf_dir: shown(indicators.features(hourly(spark, sf_dir), ["ema"])[0], "ema_12", "ema_26")
 ORACLES["indicator_ema"] = f"WITH RECURSIVE {BARS}, " + _chain({"a": "1", "b": "1"}, "close|close", "a + (p.close - a) * 2 / 13.0|b + (p.close - b) * 2 / 27.0", "") + " SELECT symbol, open_time, round(a, 6) + 0.0 AS ema_12, round(b, 6) + 0.0 AS ema_26 FROM e"
 for _g, _cols in {"rsi": ("rsi_7", "rsi_14", "rsi_21"), "macd": ("macd_hist_12_26_9", "macd_line_12_26"), "adx": ("adx_14",), "atr": ("atr_14", "atr_20")}.items():
-    QUERIES[f"indicator_{_g}"] = lambda spark, sf_dir, g=_g, c=_cols: shown(indicators.features(hourly(spark, sf_dir), [g])[0], *c)
+    QUERIES[f"indicator_{_g}"] = lambda spark, sf_dir, g=_g, c=_cols: shown(indicators.features(hourly(spark, sf_dir), [g])[0], *c, digits=4)
 
 
 # ---- signals ---------------------------------------------------------------
@@ -293,7 +293,7 @@ _signal("momentum", lambda b: signals.factor_signal(b, "momentum", 12), f"coales
 _signal("mean_reversion", lambda b: signals.factor_signal(b, "mean_reversion", 20), f"coalesce(-tanh({z('close', 20)} / 2), 0)")
 _q = lambda p: f"CASE WHEN count(v) OVER {rows(40)} >= 10 THEN quantile_cont(v, {p}) OVER {rows(40)} END"
 _signal("volatility", lambda b: signals.factor_signal(b, "volatility", 10), "coalesce(tanh((v - q5) / nullif(q7 - q2, 0) / 2), 0)", f"x AS (SELECT *, close / nullif({_c1}, 0) - 1 AS r FROM bars), y AS (SELECT *, {full('stddev_samp', 'r', 10)} AS v FROM x), w AS (SELECT *, {_q(0.5)} AS q5, {_q(0.75)} AS q7, {_q(0.25)} AS q2 FROM y)", "w")
-_signal("vwap", lambda b: signals.factor_signal(b, "vwap", 20), f"coalesce(-tanh({z('d', 20)} / 2), 0)", f"x AS (SELECT *, close / nullif({full('sum', 'quote_volume', 20)} / nullif({full('sum', 'volume', 20)}, 0), 0) - 1 AS d FROM bars)", "x")
+_signal("vwap", lambda b: signals.factor_signal(b, "vwap", 20), f"coalesce(-tanh(d / nullif({full('stddev_samp', 'd', 80, 20)}, 0) / 2), 0)", f"x AS (SELECT *, coalesce(close / nullif({full('sum', 'close * volume', 20)} / nullif({full('sum', 'volume', 20)}, 0), 0) - 1, 0) AS d FROM bars)", "x")
 _signal("rank", lambda b: signals.transform(b, "close", how="rank", window=50), "coalesce(CASE WHEN len(l) >= 20 THEN (len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2.0) / len(l) * 2 - 1 END, 0)", f"x AS (SELECT *, list(close) OVER {rows(50)} AS l FROM bars)", "x")
 _signal("controls", lambda b: signals.controls(b.withColumn("signal", F.lit(3) * (F.col("close") - F.col("open")) / F.col("high")), threshold=0.2), "CASE WHEN abs(3 * (close - open) / high) >= 0.2 THEN greatest(-1, least(1, 3 * (close - open) / high)) ELSE 0 END")
 _regimed = "CASE WHEN close > open THEN 'bull' WHEN volume > 2 THEN 'bear' ELSE 'sideways' END"
@@ -752,3 +752,6 @@ def evidence_report(spark, sf_dir):
     p = simulate.backtest(two_signals(spark, sf_dir), hourly(spark, sf_dir), sizing=simulate.Sizing(interval="1h"))
     columns = ("max_abs_ic", "max_abs_rankic", "max_abs_spread", "best_horizon", "decay_quality", "net_sharpe", "gross_sharpe")
     return shown(evidence.report(p, horizons=(1, 6), year=8760.0), *columns, keys=_ONE)
+
+
+from sigmill import more_queries  # noqa: E402, F401  (registers its own)

@@ -132,7 +132,10 @@ def extent(df: DataFrame, time: str = fr.TIME, keys=fr.KEYS) -> DataFrame:
 
 
 def frame_hash(df: DataFrame) -> Column:
-    return F.bit_xor(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]))
+    """Of all rows in any order: sums of two row hashes (repeated rows count) and the number of rows."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", total(1), total(2), F.count(F.lit(1)).cast("string")), 256)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -289,3 +289,38 @@ def test_ledger(spark, tmp_path):
     tr = spark.createDataFrame([("SEED", "promoted" if i < 5 else "no") for i in range(40)] + [("CROSSOVER", "promoted" if i < 20 else "no") for i in range(40)], "operator string, outcome string")
     u = ledger.uplift(tr).first()
     assert u.operator == "CROSSOVER" and u.uplift == pytest.approx(0.375) and u.low > 0
+
+
+def test_hash_of_repeated_rows(spark):
+    """Order doesn't matter, repeats do: two equal rows are not like none."""
+
+    h = lambda rows: spark.createDataFrame(rows, "a long, b string").agg(src.frame_hash(spark.createDataFrame([], "a long, b string")).alias("h")).first().h
+    assert h([(1, "x"), (2, None)]) == h([(2, None), (1, "x")])
+    assert len({h([(1, "x")]), h([(1, "x")] * 2), h([(1, "x")] * 3), h([(1, "x"), (2, "y"), (2, "y")])}) == 4
+
+
+def test_signal_kinds(spark):
+    """Any other kind is the deviation from VWAP, uncentred; funding that is zero throughout fails."""
+    r = np.random.default_rng(3)
+    n, back = 60, 5
+    close, volume = 100 + r.normal(size=n).cumsum(), r.integers(1, 9, n).astype(float)
+    df = spark.createDataFrame([("a", i, float(close[i]), float(volume[i]), 0.0) for i in range(n)], "symbol string, open_time long, close double, volume double, funding_zscore double")
+    got = [x.signal for x in signals.factor_signal(df, "breakout", back).orderBy("open_time").collect()]
+    d = np.zeros(n)
+    for i in range(back - 1, n):
+        w = slice(i - back + 1, i + 1)
+        d[i] = close[i] / ((close[w] * volume[w]).sum() / volume[w].sum()) - 1
+    want = [0.0] * n
+    for i in range(back - 1, n):
+        s = d[max(0, i - 4 * back + 1) : i + 1].std(ddof=1)
+        want[i] = -np.tanh(d[i] / s / 2) if s > 0 else 0.0
+    assert np.allclose(got, want, atol=1e-9)
+    with pytest.raises(Exception, match="zero throughout"):
+        signals.factor_signal(df, "funding_basis", back).collect()
+
+
+def test_turnover_repair_saturates(spark):
+    rows = [(1, 24, 0.2, 0.15, 0.3), (2, 96, 0.4, 0.3, 0.3), (3, 96, 0.4, 0.3, 0.01)]
+    df = spark.createDataFrame([(*x, False, "rejected", "") for x in rows], "experiment_id long, smooth_span long, signal_threshold double, position_buffer double, turnover double, passed boolean, research_status string, blocking_failures string")
+    got = {x.experiment_id: x.reasons for x in rules.near_miss(rules.with_needs(df)).collect()}
+    assert "excess_turnover" in got[1] and "turnover_repair_saturated" not in got[1] and "turnover_repair_saturated" in got[2] and "excess_turnover" not in got[3]
