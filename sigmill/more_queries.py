@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigmill.operators import joins, ledger, panel, quality, rules, search, signals, simulate
+from sigmill.operators import joins, ledger, panel, proposals, quality, rules, search, signals, simulate
 from sigmill.plans import methods
 from sigmill.queries import _EVENTS, _KEYS, _PANEL, _POS, _RESULTS, _SPLIT, _TWO, AT, BARS, ORACLES, QUERIES, _panel, _regimed, _with_regime, full, funding_events, hourly, out, register, results, shown, simple_path, table, two_signals, z
 from sigmill.sources import bars as src
@@ -324,3 +324,81 @@ def survivor_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("candidate_id"), F.col("c_acctbal").alias("score"), F.col("c_nationkey").alias("paper_trade_start"))
     new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.max("o_totalprice").alias("score"), F.min("o_orderkey").cast("int").alias("paper_trade_start"))
     return ledger.upsert_survivors(old, new)
+
+
+# ---- proposals -----------------------------------------------------------------------
+# Made-up factors from orders: every field is a plain function of the key.
+
+_FACTOR = {
+    "passed": "k % 17 = 0", "research_score": "(k % 50) / 20.0", "gross_sharpe": "(k % 23) / 20.0 - 0.6", "net_sharpe": "(k % 19) / 10.0 - 1", "cost_margin_bps": "(k % 13) - 9.0", "turnover": "(k % 37) / 100.0 + 0.01",
+    "ic_tstat": "(k % 11) / 4.0 - 1.3", "rankic_tstat": "(k % 7) / 4.0", "cost_drag": "(k % 9) / 10.0", "max_drawdown": "-(k % 21) / 100.0", "avg_holding": "(k % 31) * 30.0", "trade_count": "k % 120",
+    "smooth_span": "CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 12 WHEN 2 THEN 24 WHEN 3 THEN 48 ELSE 96 END", "signal_threshold": "(k % 5) / 10.0", "position_buffer": "(k % 4) / 10.0 + 0.05",
+    "lookback": "CASE k % 6 WHEN 0 THEN 6 WHEN 1 THEN 12 WHEN 2 THEN 24 WHEN 3 THEN 48 WHEN 4 THEN 96 ELSE 7 END", "best_regime_sharpe": "(k % 29) / 10.0 - 0.5",
+}
+_FACTORS = "fa AS (SELECT 'c' || o_orderkey AS candidate_id, 'f' || (o_orderkey % 4) AS family, 'bull' AS best_regime, " + ", ".join(f"{e} AS {n}" for n, e in _FACTOR.items()) + " FROM (SELECT *, o_orderkey AS k FROM orders))"
+_MERIT = "passed DESC, coalesce(nullif(research_score, 0), -999) DESC, gross_sharpe DESC, coalesce(nullif(cost_margin_bps, 0), -999) DESC, turnover, candidate_id"
+_SIGNS = "(passed OR research_score >= 1.5 OR gross_sharpe >= 0.5 OR greatest(abs(ic_tstat), abs(rankic_tstat)) >= 1.5 OR (cost_margin_bps > 0 AND net_sharpe > 0))"
+
+
+def _factors(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return o.select(F.concat(F.lit("c"), "k").alias("candidate_id"), F.concat(F.lit("f"), F.col("k") % 4).alias("family"), F.lit("bull").alias("best_regime"), *[F.expr(e).cast(proposals.NEEDS[n]).alias(n) for n, e in _FACTOR.items()])
+
+
+@register("composite_pool", f"WITH {_FACTORS}, p AS (SELECT *, row_number() OVER (ORDER BY {_MERIT}) AS place FROM fa WHERE {_SIGNS}) SELECT candidate_id, CAST(place AS INTEGER) AS place, place <= 8 AND (passed OR NOT (SELECT bool_or(passed) FROM p)) AS selected FROM p WHERE place <= 24")
+def composite_pool(spark, sf_dir):
+    return proposals.composite_pool(_factors(spark, sf_dir)).select("candidate_id", "place", "selected")
+
+
+_STRENGTH = "greatest(abs(ic_tstat), abs(rankic_tstat))"
+_SETS = [
+    ("top8", "traditional", "place <= 8 AND (passed OR NOT (SELECT bool_or(passed) FROM pool))"), ("top4", "equal", "place <= 4"), ("top4", "inverse_turnover", "place <= 4"), ("diverse8", "traditional", "mixed <= 8"),
+    ("low_turnover8", "inverse_turnover", "calm <= 8"), ("high_ic8", "ic", "strong <= 8"),
+]
+_CALM = "1 / greatest(0.02, least(1.0, turnover))"
+_FALLBACK = f"greatest(0.25, least(4.0, coalesce(nullif({_STRENGTH}, 0), nullif(research_score, 0), nullif(gross_sharpe, 0), 1.0))) * {_CALM}"
+_RAW = {"traditional": _FALLBACK, "equal": "1.0", "inverse_turnover": _CALM, "ic": _STRENGTH}
+_COMPOSITES = f"""WITH {_FACTORS}, p AS (SELECT *, row_number() OVER (ORDER BY {_MERIT}) AS place FROM fa WHERE {_SIGNS}), t AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY place) AS turn FROM p WHERE place <= 24),
+pool AS (SELECT *, row_number() OVER (ORDER BY turn, place) AS mixed, row_number() OVER (ORDER BY turnover, research_score DESC, place) AS calm, row_number() OVER (ORDER BY {_STRENGTH} DESC, place) AS strong FROM t),
+w AS ({" UNION ALL ".join(f"SELECT {k + 1} AS composite_id, '{s}' AS subset, '{h}' AS weighting, candidate_id, CAST({_RAW[h]} AS DOUBLE) AS raw FROM pool WHERE {c}" for k, (s, h, c) in enumerate(_SETS))}),
+n AS (SELECT composite_id, subset, weighting, candidate_id, raw / sum(raw) OVER (PARTITION BY composite_id) AS weight FROM w),
+g AS (SELECT 6 + row_number() OVER (ORDER BY a.place, b.place, v) AS composite_id, a.candidate_id AS a, b.candidate_id AS b, v FROM pool a, pool b, (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS v) WHERE a.place < b.place AND b.place <= 4)
+SELECT CAST(composite_id AS INTEGER) AS composite_id, subset, weighting, candidate_id, round(CAST(weight AS DOUBLE), 6) + 0.0 AS weight FROM (SELECT * FROM n UNION ALL SELECT composite_id, 'pair_grid', 'grid_' || CAST(round(v * 100) AS INTEGER) || '_' || CAST(round((1 - v) * 100) AS INTEGER), unnest([a, b]), unnest([v, 1 - v]) FROM g WHERE composite_id <= 12)"""
+
+
+@register("composite_combinations", _COMPOSITES)
+def composite_combinations(spark, sf_dir):
+    return shown(proposals.composites(_factors(spark, sf_dir)), "weight", keys=("composite_id", "subset", "weighting", "candidate_id"))
+
+
+_COSTLY = "(turnover >= 0.15 OR cost_drag >= 0.5)"
+_CALMER = {"smooth_span": f"CASE WHEN {_COSTLY} THEN 48 ELSE 24 END", "signal_threshold": f"CASE WHEN {_COSTLY} THEN 0.25 ELSE 0.15 END", "position_buffer": f"CASE WHEN {_COSTLY} THEN 0.20 ELSE 0.12 END"}
+_CALMED = ", ".join(f"CASE WHEN {c} < {g} THEN {g} END AS {c}2" for c, g in _CALMER.items())
+_NEXT = "CASE lookback WHEN 6 THEN 12 WHEN 12 THEN 24 WHEN 24 THEN 48 WHEN 48 THEN 96 WHEN 96 THEN 48 END"
+
+
+@register("survivor_evolution", f"WITH {_FACTORS}, b AS (SELECT *, {_CALMED}, {_NEXT} AS lookback2 FROM fa WHERE passed ORDER BY {_MERIT} LIMIT 16), a AS (SELECT candidate_id, 'low_turnover' AS variant, smooth_span2 AS smooth_span, signal_threshold2 AS signal_threshold, position_buffer2 AS position_buffer, NULL AS lookback, NULL AS regime_filter FROM b WHERE coalesce(smooth_span2, signal_threshold2, position_buffer2) IS NOT NULL UNION ALL SELECT candidate_id, 'lookback', NULL, NULL, NULL, lookback2, NULL FROM b WHERE lookback2 IS NOT NULL UNION ALL SELECT candidate_id, 'regime_filter', NULL, NULL, NULL, NULL, best_regime FROM b WHERE best_regime_sharpe >= greatest(0.4, net_sharpe + 0.5)) SELECT candidate_id, variant, CAST(smooth_span AS BIGINT) AS smooth_span, round(CAST(signal_threshold AS DOUBLE), 6) + 0.0 AS signal_threshold, round(CAST(position_buffer AS DOUBLE), 6) + 0.0 AS position_buffer, CAST(lookback AS BIGINT) AS lookback, regime_filter FROM a")
+def survivor_evolution(spark, sf_dir):
+    return shown(proposals.evolve(_factors(spark, sf_dir)), "smooth_span", "signal_threshold", "position_buffer", "lookback", "regime_filter", keys=("candidate_id", "variant"))
+
+
+_EXITS = [
+    ("drawdown_balanced", "max_drawdown <= -0.12", "-0.03", "0.02", "NULL", "NULL"), ("drawdown_tight", "max_drawdown <= -0.12", "-0.02", "0.015", "NULL", "NULL"), ("drawdown_moderate", "max_drawdown <= -0.08 AND max_drawdown > -0.12", "-0.04", "0.025", "NULL", "NULL"),
+    ("max_hold_500", "avg_holding > 500", "NULL", "NULL", "500", "NULL"), ("max_hold_250", "avg_holding > 500", "NULL", "NULL", "250", "NULL"), ("profit_lock_balanced", "cost_drag > 0.5 AND trade_count >= 50", "NULL", "NULL", "NULL", "0.02"), ("profit_lock_fast", "cost_drag > 0.5 AND trade_count >= 50", "NULL", "0.015", "NULL", "0.01"),
+]
+
+
+@register("exit_proposals", f"WITH {_FACTORS}, b AS (SELECT * FROM fa WHERE {_SIGNS} ORDER BY {_MERIT} LIMIT 8), e AS (" + " UNION ALL ".join(f"SELECT candidate_id, {k} AS k, '{v}' AS variant, CAST({s} AS DOUBLE) AS stop_loss_pct, CAST({t} AS DOUBLE) AS trailing_stop_pct, CAST({h} AS INTEGER) AS max_hold_bars, CAST({p} AS DOUBLE) AS tp_tier_pct FROM b WHERE {w}" for k, (v, w, s, t, h, p) in enumerate(_EXITS)) + ") SELECT * EXCLUDE (k, n) FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY k) AS n FROM e) WHERE n <= 3")
+def exit_proposals(spark, sf_dir):
+    return shown(proposals.exits(_factors(spark, sf_dir)), "stop_loss_pct", "trailing_stop_pct", "max_hold_bars", "tp_tier_pct", keys=("candidate_id", "variant"))
+
+
+_STEPS = " ".join(f"WHEN smooth_span < {a} OR signal_threshold < {b} OR position_buffer < {c} THEN {a}" for a, b, c in proposals.CALM_STEPS)
+
+
+@register("hill_climb", f"WITH {_FACTORS}, o AS (SELECT 'c' || o_orderkey AS candidate_id, o_orderkey % 3 AS what, o_orderkey % 21 / 100.0 - 0.06 AS delta_sharpe, o_orderkey % 8 / 100.0 - 0.05 AS delta_turnover FROM orders WHERE o_orderkey % 4 <> 1), h AS (SELECT fa.*, what, delta_sharpe, delta_turnover, CASE {_STEPS} END AS step, {_CALMED}, {_NEXT} AS lookback2 FROM fa JOIN o USING (candidate_id)) SELECT candidate_id, 'turnover' AS variant, CAST(step AS BIGINT) AS smooth_span, CAST(NULL AS BIGINT) AS lookback FROM h WHERE what = 0 AND delta_sharpe >= -0.05 AND delta_turnover <= -0.01 AND step IS NOT NULL UNION ALL SELECT candidate_id, 'lookback', NULL, lookback2 FROM h WHERE what = 1 AND delta_sharpe >= 0.05 AND lookback2 IS NOT NULL UNION ALL SELECT candidate_id, 'regime_filter', smooth_span2, NULL FROM h WHERE what = 2 AND delta_sharpe >= 0.05 AND coalesce(smooth_span2, signal_threshold2, position_buffer2) IS NOT NULL")
+def hill_climb(spark, sf_dir):
+    k = F.col("o_orderkey")
+    names = F.array(F.lit("position_buffer"), F.lit("lookback"), F.lit("regime_filter"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_orderkey").alias("candidate_id"), F.when(k % 4 == 1, "failed").otherwise("improved").alias("status"), F.array(F.get(names, k % 3)).alias("changed"), F.expr("o_orderkey % 21 / 100.0 - 0.06").cast("double").alias("delta_sharpe"), F.expr("o_orderkey % 8 / 100.0 - 0.05").cast("double").alias("delta_turnover"))
+    return shown(proposals.hill_climb(_factors(spark, sf_dir), o), "smooth_span", "lookback", keys=("candidate_id", "variant"))
