@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigmill.operators import joins, ledger, panel, proposals, quality, rules, search, signals, simulate
+from sigmill.operators import inference, joins, ledger, panel, proposals, quality, rules, search, signals, simulate
 from sigmill.plans import methods
 from sigmill.queries import _EVENTS, _KEYS, _PANEL, _POS, _RESULTS, _SPLIT, _TWO, AT, BARS, ORACLES, QUERIES, _panel, _regimed, _with_regime, full, funding_events, hourly, out, register, results, shown, simple_path, table, two_signals, z
 from sigmill.sources import bars as src
@@ -402,3 +402,20 @@ def hill_climb(spark, sf_dir):
     names = F.array(F.lit("position_buffer"), F.lit("lookback"), F.lit("regime_filter"))
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_orderkey").alias("candidate_id"), F.when(k % 4 == 1, "failed").otherwise("improved").alias("status"), F.array(F.get(names, k % 3)).alias("changed"), F.expr("o_orderkey % 21 / 100.0 - 0.06").cast("double").alias("delta_sharpe"), F.expr("o_orderkey % 8 / 100.0 - 0.05").cast("double").alias("delta_turnover"))
     return shown(proposals.hill_climb(_factors(spark, sf_dir), o), "smooth_span", "lookback", keys=("candidate_id", "variant"))
+
+
+# ---- calibration ---------------------------------------------------------------------
+
+
+@register("gate_rates", f"{_ALONE}, t AS (SELECT 'arm' || (experiment_id % 3) AS arm, experiment_id AS trial, rule_id AS gate, status = 'pass' AS ok FROM items WHERE rule_id IN ('G1', 'G3', 'G5')), b AS (SELECT arm, gate, ok FROM t UNION ALL SELECT arm, 'ALL', bool_and(ok) FROM t GROUP BY arm, trial) SELECT arm, gate, count(*) AS n, count_if(ok) AS passed, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS rate FROM b GROUP BY 1, 2")
+def gate_rates(spark, sf_dir):
+    items = rules.gates(results(spark, sf_dir)).select(F.concat(F.lit("arm"), F.col("experiment_id") % 3).alias("arm"), F.col("experiment_id").alias("trial"), "rule_id", "status")
+    return shown(inference.gate_rates(items, ("G1", "G3", "G5")), "n", "passed", "rate", keys=("arm", "gate"))
+
+
+@register("unfunded_filter", f"WITH {BARS}, c AS (SELECT o_orderkey AS candidate_id, CASE o_orderkey % 3 WHEN 0 THEN 'funding_basis' ELSE 'momentum' END AS family, CASE WHEN o_orderkey % 5 = 0 THEN 'TS_MEAN($funding_rate, 5)' ELSE '$close' END AS expression, CASE o_orderkey % 2 WHEN 0 THEN 'click' ELSE 'view' END AS symbol FROM orders) SELECT candidate_id FROM c WHERE symbol = 'click' OR (family <> 'funding_basis' AND expression = '$close')")
+def unfunded_filter(spark, sf_dir):
+    k = F.col("o_orderkey")
+    c = table(spark, sf_dir, "orders").select(k.alias("candidate_id"), F.when(k % 3 == 0, "funding_basis").otherwise("momentum").alias("family"), F.when(k % 5 == 0, "TS_MEAN($funding_rate, 5)").otherwise("$close").alias("expression"), F.when(k % 2 == 0, "click").otherwise("view").alias("symbol"))
+    b = hourly(spark, sf_dir).withColumn("funding_rate", F.when(F.col("symbol") == "click", F.col("close")).otherwise(0.0))
+    return search.funded(c, b).select("candidate_id")

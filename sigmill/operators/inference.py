@@ -403,3 +403,23 @@ def power_table(trials: DataFrame) -> DataFrame:
 
 def least_alpha(table: DataFrame, level: float = 0.8) -> DataFrame:
     return table.groupBy("horizon").agg(F.min(F.when(F.col("rate") >= level, F.col("alpha"))).alias("least_alpha"))
+
+
+def plant_regime(df: DataFrame, returns: str, label: str, kept: list[str], alpha: float, *, seed: int = 7, keys=KEY, name: str = "signal") -> DataFrame:
+    """``plant`` in the regimes ``kept``, noise alone in the others: what a regime filter should help."""
+    d = plant(df, returns, alpha, seed=seed, keys=keys, name="_edge").withColumn("_noise", fr.clip(F.randn(seed + 1) / 3, -1, 1))
+    return d.withColumn(name, F.when(F.col(label).isin(*kept), F.col("_edge")).otherwise(F.col("_noise"))).drop("_edge", "_noise")
+
+
+def gate_rates(items: DataFrame, gates: tuple[str, ...], *, arm: str = "arm", trial: str = "trial") -> DataFrame:
+    """How often each gate, and all of them at once (ALL), let trials of an arm pass.
+
+    ``items`` (arm, trial, rule_id, status) are gate items of trials with
+    rotated signals (false acceptances) or planted ones (power); a gate that a
+    trial lacks counts as failed.
+    """
+    ok = F.col("status") == "pass"
+    per = items.where(F.col("rule_id").isin(*gates)).groupBy(arm, trial).agg(*[F.coalesce(F.bool_or(F.when(F.col("rule_id") == g, ok)), F.lit(False)).alias(g) for g in gates])
+    every = per.withColumn("ALL", F.array_min(F.array(*gates)))
+    long = every.select(arm, F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("ok")) for g in (*gates, "ALL")])))
+    return long.groupBy(arm, "gate").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"), F.avg(F.col("ok").cast("double")).alias("rate"))

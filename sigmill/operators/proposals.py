@@ -203,9 +203,10 @@ def apply(factors: DataFrame, proposals: DataFrame) -> DataFrame:
     keep = [c for c in CHANGES if c in f.columns]
     parent = f.select(F.col("candidate_id").alias("parent_id"), "family", F.coalesce("root_parent_id", "candidate_id").alias("root_parent_id") if "root_parent_id" in f.columns else F.col("candidate_id").alias("root_parent_id"), *[F.col(c).alias(f"_{c}") for c in keep])
     d = proposals.withColumnRenamed("candidate_id", "parent_id").join(parent, "parent_id")
+    d = d.withColumns({c: F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.col(c)) for c in keep})  # what is as before is no change
     changed = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in CHANGES]))
     mark = F.sha2(F.concat_ws("|", "root_parent_id", "kind", F.to_json(F.struct(*CHANGES))), 256).substr(1, 16)
-    out = d.withColumns({"changed": changed, "candidate_id": mark})
+    out = d.withColumns({"changed": changed, "candidate_id": mark}).where(F.size("changed") > 0)
     return out.select("candidate_id", "parent_id", "root_parent_id", "family", "kind", "variant", "changed", *[F.coalesce(c, f"_{c}").alias(c) if c in keep else F.col(c) for c in CHANGES]).dropDuplicates(["candidate_id"])
 
 

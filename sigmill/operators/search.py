@@ -99,6 +99,17 @@ def within_boundary(families: DataFrame) -> DataFrame:
     return d.withColumn("reason", F.coalesce(why, F.lit("all boundaries satisfied"))).withColumn("continue", why.isNull()).select(*families.columns, "continue", "reason")
 
 
+def funded(candidates: DataFrame, bars: DataFrame, rate: str = "funding_rate") -> DataFrame:
+    """Candidates (symbol, family, expression) that don't need funding, and the others where an instrument has some.
+
+    Funding is needed by the family funding_basis and by expressions with $funding_rate.
+    """
+    usable = bars.groupBy("symbol").agg((F.sum(F.abs(F.coalesce(fr.finite(F.col(rate).cast("double")), F.lit(0.0)))) > 1e-12).alias("_usable"))
+    needs = (F.col("family") == "funding_basis") | F.coalesce(F.col("expression").rlike(r"\$funding_rate\b"), F.lit(False))
+    d = candidates.join(F.broadcast(usable.where("_usable")), "symbol", "left")
+    return d.where(~needs | F.coalesce("_usable", F.lit(False))).select(*candidates.columns)
+
+
 def evidence_weights(df: DataFrame, how: str = "traditional", *, group: str = "composite_id") -> DataFrame:
     """Add weight, adding up to 1 in each group: equal, inverse_turnover, ic, or evidence over turnover (traditional)."""
     c = F.col

@@ -324,3 +324,12 @@ def test_turnover_repair_saturates(spark):
     df = spark.createDataFrame([(*x, False, "rejected", "") for x in rows], "experiment_id long, smooth_span long, signal_threshold double, position_buffer double, turnover double, passed boolean, research_status string, blocking_failures string")
     got = {x.experiment_id: x.reasons for x in rules.near_miss(rules.with_needs(df)).collect()}
     assert "excess_turnover" in got[1] and "turnover_repair_saturated" not in got[1] and "turnover_repair_saturated" in got[2] and "excess_turnover" not in got[3]
+
+
+def test_planted_regimes(spark):
+    r = np.random.default_rng(1)
+    rows = [("a", i, float(r.normal()), "up" if i % 2 else "down") for i in range(4000)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, ret double, regime string")
+    got = inference.plant_regime(df, "ret", "regime", ["up"], 0.8, keys=("symbol",)).toPandas()
+    corr = got.groupby("regime")[["signal", "ret"]].apply(lambda g: g.signal.corr(g.ret))
+    assert corr["up"] > 0.7 and abs(corr["down"]) < 0.08
