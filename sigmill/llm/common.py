@@ -24,11 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made,
-    and removed when the process ends.
+    Only on one machine (a local master) where that is unset, as in tests, a
+    temporary folder is made, and removed when the process ends. On a cluster
+    an unset folder is an error, as other executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="sigmill-")
         atexit.register(shutil.rmtree, made, True)
         base = f"file://{made}"
@@ -37,7 +40,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; what is there goes when the driver's JVM ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

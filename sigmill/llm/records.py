@@ -66,9 +66,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool, e
     doc_id comes first. Rows with equal doc_id lie next to each other, ordered
     by text. No rows give no files with content.
     """
-    if files is None:  # about 16 MB of text a file
+    if files is None:  # 16 MB of text a file, and more (up to 128 MB) where that gives over 4096 files
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(1, -(-size // (16 << 20)))
+        files = max(1, -(-size // min(128 << 20, max(16 << 20, size // 4096))))
     laid = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encoded(batches):

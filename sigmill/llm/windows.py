@@ -52,6 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of all runs of ``gram`` bytes (a multiple of 8)."""
+    data = np.ascontiguousarray(data)
     eight = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).copy().view(np.uint64).ravel()
     n = len(data) - gram + 1
     out = np.zeros(n, np.uint64)
@@ -68,15 +69,17 @@ def symbol_grams(symbols: np.ndarray, gram: int) -> np.ndarray:
     return _mix(out)
 
 
-def anchors(grams: np.ndarray, width: int) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(symbols: np.ndarray, grams: Callable, gram: int, width: int) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, place, first window, last window) of the anchors of all windows.
 
     ``width`` is the number of grams in a window; ties go to the leftmost.
-    Long documents are done in segments that share width - 1 grams.
+    Long documents are hashed and searched in segments that share width - 1
+    grams, so memory beyond the text itself is that of one segment.
     """
     mask = np.uint64(_SEGMENT - 1)
-    for lo in range(0, max(0, len(grams) - width + 1), _SEGMENT - width + 1):
-        part = grams[lo : lo + _SEGMENT]
+    count = len(symbols) - gram + 1
+    for lo in range(0, max(0, count - width + 1), _SEGMENT - width + 1):
+        part = grams(symbols[lo : lo + _SEGMENT + gram - 1], gram)
         m = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
         span = 1
         while 2 * span <= width:
@@ -134,7 +137,7 @@ class Windows:
                     x = self.to_symbols(text)
                     if len(x) < self.length:
                         continue
-                    for value, place, first, last in anchors(self.grams(x, self.gram), self.length - self.gram + 1):
+                    for value, place, first, last in anchors(x, self.grams, self.gram, self.length - self.gram + 1):
                         raw, w = x.tobytes(), x.itemsize
                         at = place - first
                         sign = [xxhash.xxh3_64_intdigest(raw[w * lo : w * hi], k) for lo, hi, k in zip(first.tolist(), (last + self.length).tolist(), at.tolist())]
