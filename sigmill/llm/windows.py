@@ -11,8 +11,11 @@ context: the symbols those windows cover). Then
    however many copies there are;
 3. what is left, one context for each signature, is grouped by anchor and
    given to a solver that compares windows of different contexts;
-4. anchors with more contexts than a solver should hold are settled window by
-   window, by counts of window hashes: exact, and free of large groups.
+4. contexts of an anchor with more of them than a solver should hold are cut
+   into runs of windows that start at the same places relative to the anchor;
+   a run is filed under the symbols that all its windows share, and goes
+   through steps 2 and 3 again. What is still too much there is settled window
+   by window, by counts of window hashes: exact, and free of large groups.
 
 Keys that many rows share never meet in one task: rows are combined before
 shuffles, and hot keys are joined by a broadcast of bounded size.
@@ -31,8 +34,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import join_unique, materialize, row_key, shuffle_count, split_by_keys, struct_of
 
-#: Contexts of one anchor that a solver takes together; beyond, step 4.
+#: Contexts of one anchor that a solver takes together; beyond, step 4. Windows of a run there.
 GROUP_CAP = 1 << 15
+RUN = 16
 _SEGMENT = 1 << 20
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(64)], np.uint64)
 
@@ -235,43 +239,88 @@ class Windows:
         met = met.where(F.col("doc_id") > F.col("least")) if self.earlier else met
         return met.select("a", "s", "key", "doc_id", "lo", F.col("p").alias("from"), (F.col("p") + self.length).cast("int").alias("to"))
 
+    def _split(self, contexts: DataFrame, cap: int) -> DataFrame:
+        """The same for anchors with too many contexts, by runs of windows; see step 4."""
+        some = materialize(contexts.dropDuplicates(["a", "s"]).withColumn("context", F.xxhash64("a", "s")), "windows-large")
+        names = ["key", "doc_id", "a", "s", "lo", "span", "at"]
+        cols = ["context", "doc_id", "a", "lo", "span", "at", "symbols"]
+
+        def cut(batches):
+            w = self.length
+            for b in batches:
+                out: list[tuple] = []
+                for context, doc, a, lo, span, at, data in zip(*(b.column(i).to_pylist() for i in range(7))):
+                    item, p = len(data) // (span - 1 + w), 0
+                    while p < span:
+                        k = (p - at) // RUN
+                        end = min(span, (k + 1) * RUN + at)
+                        common = data[item * ((k + 1) * RUN - 1 + at) : item * (k * RUN + at + w)]
+                        filed = xxhash.xxh3_64_intdigest(common, (a ^ (k * 0x9E3779B97F4A7C15)) & ((1 << 64) - 1))
+                        sign = xxhash.xxh3_64_intdigest(data[item * p : item * (end - 1 + w)], (p - at) & 0xFFFF)
+                        out.append((context, doc, filed - (1 << 63), sign - (1 << 63), lo + p, end - p, at - p))
+                        p = end
+                if out:
+                    yield _batch(out, names)
+
+        rows = materialize(some.select(*cols).mapInArrow(cut, "key long, doc_id long, a long, s long, lo int, span int, at int"), "windows-runs")
+
+        def fetch(wanted: DataFrame) -> DataFrame:
+            per = wanted.groupBy(F.col("key").alias("context")).agg(F.collect_list(F.struct("a", "s", "lo", "span", "at")).alias("wants"))
+            given = some.select("context", "doc_id", F.col("lo").alias("base"), "span", "symbols").join(per, "context")
+
+            def run(batches):
+                for b in batches:
+                    out: list[tuple] = []
+                    for context, doc, base, span, data, wants in zip(*(b.column(i).to_pylist() for i in range(6))):
+                        item = len(data) // (span - 1 + self.length)
+                        for q in wants:
+                            first = q["lo"] - base
+                            out.append((q["a"], q["s"], context, doc, q["lo"], q["span"], q["at"], data[item * first : item * (first + q["span"] - 1 + self.length)]))
+                    if out:
+                        yield _batch(out, ["a", "s", "key", "doc_id", "lo", "span", "at", "symbols"])
+
+            return given.mapInArrow(run, "a long, s long, key long, doc_id long, lo int, span int, at int, symbols binary")
+
+        spans = self._settle(rows, fetch, cap, last=True).withColumnRenamed("key", "context")
+        return spans.join(some.select("context", "a", "s", "key", "doc_id", "lo"), "context").select("a", "s", "key", "doc_id", "lo", "from", "to")
+
     def repeats(self, docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
         """key, spans (array of from, to in symbols) of rows with repeated windows."""
         rows = materialize(self.file(docs), "windows-anchors")
         total = rows.count()
         often = materialize(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows-often")
         rows = materialize(join_unique(rows, often, ["a"], "n", total).drop("n"), "windows-rows")
+        spans = self._settle(rows, lambda wanted: self.contexts(docs, wanted), cap)
+        return spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+
+    def _settle(self, rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], cap: int, last: bool = False) -> DataFrame:
+        """key, from, to of repeated windows; ``rows`` as from ``file``, ``fetch`` gives the symbols of some of them."""
         total = rows.count()
         signed = materialize(rows.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key", "lo", "span", "at")).alias("one")), "windows-signed")
         kinds = materialize(signed.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "windows-kinds")
         wanted = join_unique(signed, kinds, ["a"], "k", total).select("a", "s", "k", "one.*")
         wanted = materialize(wanted.drop("doc_id", "k"), "windows-wanted")
-        contexts = materialize(self.contexts(docs, wanted), "windows-contexts")
-        parts = []
+        contexts = materialize(fetch(wanted), "windows-contexts")
         large = kinds.where(F.col("k") > cap).select("a")
         if large.isEmpty():
-            parts.append(self._solved(contexts))
+            found = self._solved(contexts)
         else:
             # few: each has more than ``cap`` of the contexts, yet not bounded, so no broadcast is forced
-            parts.append(self._solved(contexts.join(large, "a", "left_anti")))
-            parts.append(self._one_by_one(contexts.join(large, "a", "left_semi")))
-        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            hot = contexts.join(large, "a", "left_semi")
+            found = self._solved(contexts.join(large, "a", "left_anti")).unionByName(self._one_by_one(hot) if last else self._split(hot, cap))
         # where equal contexts settle it
         copies = join_unique(rows, signed.where("n > 1").select("a", "s", "n", "least"), ["a", "s"], "n", total)
         whole = copies.where(F.col("doc_id") > F.col("least")) if self.earlier else copies
-        spans = [whole.select("key", F.col("lo").alias("from"), (F.col("lo") + F.col("span") - 1 + self.length).cast("int").alias("to"))]
-        if self.earlier:
-            # a document may hold the context several times; all take what was found for one
-            found = materialize(found, "windows-found")
-            each = found.groupBy("a", "s").agg(F.collect_list(F.struct((F.col("from") - F.col("lo")).alias("f"), (F.col("to") - F.col("lo")).alias("t"))).alias("rel"))
-            each = materialize(each.join(signed.select("a", "s", "n", "least"), ["a", "s"]), "windows-each")
-            same = join_unique(rows, each, ["a", "s"], "n", total).where(F.col("doc_id") == F.col("least"))
-            same = same.select("key", "lo", F.explode("rel").alias("r"))
-            spans.append(same.select("key", (F.col("lo") + F.col("r.f")).cast("int").alias("from"), (F.col("lo") + F.col("r.t")).cast("int").alias("to")))
-        else:
-            spans.append(found.select("key", "from", "to"))
-        all_spans = spans[0].unionByName(spans[1])
-        return all_spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+        spans = whole.select("key", F.col("lo").alias("from"), (F.col("lo") + F.col("span") - 1 + self.length).cast("int").alias("to"))
+        if not self.earlier:
+            return spans.unionByName(found.select("key", "from", "to"))
+        # a document may hold the context several times; all take what was found for one
+        found = materialize(found, "windows-found")
+        each = found.groupBy("a", "s").agg(F.collect_list(F.struct((F.col("from") - F.col("lo")).alias("f"), (F.col("to") - F.col("lo")).alias("t"))).alias("rel"))
+        each = materialize(each.join(signed.select("a", "s", "n", "least"), ["a", "s"]), "windows-each")
+        same = join_unique(rows, each, ["a", "s"], "n", total).where(F.col("doc_id") == F.col("least"))
+        same = same.select("key", "lo", F.explode("rel").alias("r"))
+        return spans.unionByName(same.select("key", (F.col("lo") + F.col("r.f")).cast("int").alias("from"), (F.col("lo") + F.col("r.t")).cast("int").alias("to")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], result: str, cut: Callable) -> DataFrame:

@@ -52,7 +52,7 @@ def test_automaton():
         assert a.statistics(seqs[3]) == want
 
 
-@pytest.mark.parametrize("seed,cap", [(1, None), (2, 1), (3, None)])
+@pytest.mark.parametrize("seed,cap", [(1, None), (2, 1), (3, None), (4, 6)])
 def test_suffix_dedup(spark, seed, cap):
     rows = texts(seed)
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, n_bytes string").repartition(5)
@@ -61,7 +61,7 @@ def test_suffix_dedup(spark, seed, cap):
     assert sorted((x.doc_id or -1, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted((k or -1, *b) for (k, _), b in zip(rows, brute.suffix_dedup(rows, 200)))
 
 
-@pytest.mark.parametrize("seed,cap", [(1, None), (2, 1), (3, None)])
+@pytest.mark.parametrize("seed,cap", [(1, None), (2, 1), (3, None), (4, 6)])
 def test_substring_dedup(spark, seed, cap):
     rows = texts(seed)
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, key string").repartition(5)
@@ -79,3 +79,27 @@ def test_keep(spark):
     assert sorted(map(tuple, remove_passages(df, keep=("doc_id", "lang")).select("doc_id", "lang", "kept_text").collect())) == [(1, "en", "x"), (2, None, None)]
     with pytest.raises(ValueError):
         remove_passages(df.withColumn("n_words", df.doc_id), keep=("doc_id", "n_words"))
+
+
+@pytest.mark.parametrize("cap", [8, 25])
+def test_one_passage_in_many_surroundings(spark, cap, monkeypatch):
+    """More contexts of an anchor than the cap: runs of windows go to the solvers, none to plain counts where they fit."""
+    from sigmill.llm import windows
+
+    calls = []
+    plain = windows.Windows._one_by_one
+    monkeypatch.setattr(windows.Windows, "_one_by_one", lambda self, contexts: calls.append(contexts.count()) or plain(self, contexts))
+    r = random.Random(21)
+    pool = ["".join(r.choice("abcdefgü") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    passage = [r.choice(pool) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        a, b = r.randint(0, 40), r.randint(80, 120)
+        before, after = ([r.choice(pool) for _ in range(r.randint(3, 30))] for _ in range(2))
+        rows.append((i, " ".join([*before, *passage[a:b], *after])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(df, cap=cap).collect()}
+    assert got == dict(zip(range(60), brute.suffix_dedup(rows, 200)))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in remove_passages(df, cap=cap).collect()}
+    assert got == dict(zip(range(60), brute.substring_dedup(rows, 50)))
+    assert cap < 25 or not calls
