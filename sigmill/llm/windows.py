@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import join_unique, materialize, row_key, shuffle_count, split_by_keys, struct_of
 
 #: Contexts of one anchor that a solver takes together; beyond, step 4. Windows of a run there.
-GROUP_CAP = 1 << 11
+GROUP_CAP = 1 << 15
 RUN = 16
 _SEGMENT = 1 << 20
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(64)], np.uint64)
