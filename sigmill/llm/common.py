@@ -56,7 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def struct_of(columns: list[str]) -> Column:

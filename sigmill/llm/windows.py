@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import join_unique, materialize, row_key, shuffle_count, split_by_keys, struct_of
+from .common import discard, join_unique, materialize, row_key, shuffle_count, split_by_keys, struct_of
 
 #: Contexts of one anchor that a solver takes together; beyond, step 4. Windows of a run there.
 GROUP_CAP = 1 << 15
@@ -286,10 +286,10 @@ class Windows:
 
     def repeats(self, docs: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
         """key, spans (array of from, to in symbols) of rows with repeated windows."""
-        rows = materialize(self.file(docs), "windows-anchors")
-        total = rows.count()
-        often = materialize(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows-often")
-        rows = materialize(join_unique(rows, often, ["a"], "n", total).drop("n"), "windows-rows")
+        filed = materialize(self.file(docs), "windows-anchors")
+        often = materialize(filed.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows-often")
+        rows = materialize(join_unique(filed, often, ["a"], "n", filed.count()).drop("n"), "windows-rows")
+        discard(filed, often)
         spans = self._settle(rows, lambda wanted: self.contexts(docs, wanted), cap)
         return spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
@@ -301,6 +301,7 @@ class Windows:
         wanted = join_unique(signed, kinds, ["a"], "k", total).select("a", "s", "k", "one.*")
         wanted = materialize(wanted.drop("doc_id", "k"), "windows-wanted")
         contexts = materialize(fetch(wanted), "windows-contexts")
+        discard(wanted)
         large = kinds.where(F.col("k") > cap).select("a")
         if large.isEmpty():
             found = self._solved(contexts)

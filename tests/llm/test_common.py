@@ -23,3 +23,6 @@ def test_scratch_folder(spark):
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
     df = common.materialize(spark.range(5).select(F.col("id").alias("k")), "x")
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().optimizedPlan().toString()
+    common.discard(df)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE"):
+        spark.read.parquet(df._scratch).count()
