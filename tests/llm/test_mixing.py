@@ -48,6 +48,52 @@ def test_targets_and_takes(spark, shard):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def seats(weights, n):
+    """Sainte-Lague, one seat after another; ties to the first."""
+    won = [0] * len(weights)
+    for _ in range(n if sum(weights) else 0):
+        best = max(range(len(weights)), key=lambda i: (weights[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+def test_takes_block_by_block(spark):
+    """Every document's words by walking over each shard's blocks one at a time."""
+    from sigmill.llm.mixing import _mixed
+
+    r = random.Random(9)
+    rows = [(i, "w " * r.choice([0, 1, 3, 9, 40, 200, 900]), r.choice(["a", "a", "a", "b", "c", None])) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, shard_words = 8, 2000
+    got = _mixed(df, block_words=block, shard_words=shard_words).collect()
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    target = level_targets(size)
+    quota = dict(zip(names, seats([target[s] for s in names], int(sum(target.values()) / block + 0.5))))
+    want = {}
+    for s in names:
+        shards = {}
+        for x in got:
+            if x.source == s:
+                shards.setdefault(x.shard, []).append(x)
+        assert set(shards) <= set(range(max(1, -(-size[s] // shard_words))))
+        order = sorted(shards)
+        words = [sum(x.size for x in shards[k]) for k in order]
+        for k, n, q in zip(order, words, seats(words, quota[s])):
+            blocks = -(-n // block)
+            q = min(q, 2 * blocks)
+            start = spark.sql(f"SELECT pmod(xxhash64(17, {'cast(null as string)' if s is None else repr(s)}, {k}L), {max(1, blocks)}L) AS x").first().x
+            taken = [q // blocks + ((b + 1 + start) * (q % blocks) // blocks - (b + start) * (q % blocks) // blocks) for b in range(blocks)]
+            assert sum(taken) == q
+            at = 0
+            for x in sorted(shards[k], key=lambda x: (x.h, x.doc_id, x.size)):
+                want[x.doc_id] = sum(taken[w // block] for w in range(at, at + x.size))
+                at += x.size
+    assert {x.doc_id: x.taken for x in got} == want and len({x.shard for x in got if x.source == "a"}) > 3
+
+
 def test_highest_quotients(spark):
     r = random.Random(3)
     for _ in range(4):

@@ -106,6 +106,24 @@ def test_ranking_on_held_out(spark):
     assert dense(None) == [0.0] * len(NAMES) == dense(" \n")
 
 
+def test_scores_are_the_optimum_over_the_pairs():
+    """The weights against plain gradient descent on the logistic loss of feature differences."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(80, len(NAMES)))
+    y = (x[:, 0] - 0.5 * x[:, 3] + r.normal(size=80) > 0).astype(int)
+    model = ranking.Ranker(0.7).fit(x, y, 500, 9)
+    z, draw = np.clip((x - x.mean(0)) / x.std(0), -5, 5), np.random.default_rng(9)
+    d = z[draw.choice(np.flatnonzero(y == 1), 500)] - z[draw.choice(np.flatnonzero(y == 0), 500)]
+    w = np.zeros(len(NAMES))
+    for _ in range(6000):
+        w -= 0.3 * (d.T @ (1 / (1 + np.exp(-d @ w)) - 1) / 500 + 1e-2 * w)
+    assert np.allclose(w, model.weight, atol=1e-4)
+    s = z @ w
+    low = np.quantile(s, [(y == 0).mean() - 0.01, (y == 0).mean() + 0.01]).mean()
+    assert model.middle == pytest.approx(low, abs=1e-3)
+    assert np.allclose(model.score(x) >= 0.7, s >= model.middle)
+
+
 def test_quality_rules(spark):
     rows = corpus(3, 250)
     docs, labels = frames(spark, rows, 150)
