@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions import frames as fr
+from sigmill.functions.scratch import durable
 
 from . import inference, simulate
 
@@ -76,8 +77,11 @@ def report(path: DataFrame, *, label: str | None = None, horizons=HORIZONS, cost
     """One row a key with the fields that tiers, research gate and near misses read.
 
     ``path``: output of ``simulate.backtest``; ``label``: a column of states.
+    The path, and the measures by horizon, are checkpointed once: every figure
+    reads them, and none runs the backtest again.
     """
-    h = by_horizon(path, horizons)
+    path = durable(path)
+    h = durable(by_horizon(path, horizons))
     a = F.abs("ic")
     best = h.groupBy(*KEYS).agg(
         F.max(a).alias("max_abs_ic"), F.max(F.abs("rank_ic")).alias("max_abs_rankic"), F.max(F.abs("spread_bps")).alias("max_abs_spread"),

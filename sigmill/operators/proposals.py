@@ -9,12 +9,13 @@ row by row.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.functions.scratch import durable
+
 from .search import diverse, evidence_weights, outcome
 
 NEEDS = {
@@ -210,18 +211,6 @@ def apply(factors: DataFrame, proposals: DataFrame) -> DataFrame:
     return out.select("candidate_id", "parent_id", "root_parent_id", "family", "kind", "variant", "changed", *[F.coalesce(c, f"_{c}").alias(c) if c in keep else F.col(c) for c in CHANGES]).dropDuplicates(["candidate_id"])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder all executors share; on one machine without one, in a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="sigmill-"))
-    return df.checkpoint()
-
-
 def optimise(factors: DataFrame, evaluate: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
     """Factors and what ``rounds`` of proposals made of them; adds parent_id, status and round.
 
