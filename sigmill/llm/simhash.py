@@ -12,6 +12,11 @@ homes are compared with the others there.
 Anchors that agree in their first blocks form a cell. A fingerprint travels
 once to each cell that holds an anchor of its, in packed arrays, and is
 replicated to the anchors of the cell where it arrives.
+
+A wide radius (two fingerprints and a size) has about as many cells as anchors
+once cells are small, so cells stay large there: a fingerprint travels to few of
+them, slices by size bound what a cell holds, and the anchors of a cell are
+gone through depth first, so that they are never laid out all at once.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ from .graph import components
 SEED = 42
 #: Fingerprints that a cell holds, about; a cell with more than twice as many is split.
 CELL = 1 << 17
+#: With sizes: a slice holds about so many times CELL fingerprints, and cells are cut finer than parts while a fingerprint's copies stay within so many bytes.
+SLICE, TRAVEL = 8, 3000
+#: Cost of a comparison there, in anchors that a fingerprint is replicated to.
+COMPARE = 0.02
 _U = np.uint64
 
 
@@ -142,6 +151,44 @@ class Cover:
             at += s
         return row, anchor, used
 
+    def groups(self, x: np.ndarray, homes: np.ndarray, others: np.ndarray, blocks: int, prefix: int):
+        """(rows, which of them are at home) of each anchor of the cell with a home and another row, one at a time.
+
+        ``homes`` and ``others`` tell which rows count at their home, and which
+        elsewhere. Rows keep their order. Depth first: what is held is a few
+        bytes a row for each block.
+        """
+
+        def walk(k: int, at: int, row: np.ndarray, used: np.ndarray):
+            if k == len(self.sizes):
+                yield row, (used == 0) & homes[row]
+                return
+            s = self.sizes[k]
+            block = ((x[row] >> _U(at)) & _U((1 << s) - 1)).astype(np.intp)
+            for word in self._words(s) if k >= blocks else [(prefix >> at) & ((1 << s) - 1)]:
+                now = used + self._flips(s)[word][block]
+                fits = np.flatnonzero((now == 0) | (now <= self.threshold) & others[row])
+                r, u = row[fits], now[fits]
+                if len(r) > 1 and (homes[r] & (u == 0)).any():
+                    yield from walk(k + 1, at + s, r, u)
+
+        yield from walk(0, 0, np.arange(len(x), dtype=np.int32), np.zeros(len(x), np.uint8))
+
+    @staticmethod
+    @cache
+    def _flips(size: int) -> dict[int, np.ndarray]:
+        """By word of a block: the flips (64: never) after which each value may be at home there."""
+        lists = _code()[2] if size == 7 else [[(0, 0), (1, 1)], [(0, 1), (1, 0)]]
+        out = {w: np.full(1 << size, 64, np.uint8) for some in lists for _, w in some}
+        for v, some in enumerate(lists):
+            for d, w in some:
+                out[w][v] = d
+        return out
+
+    @classmethod
+    def _words(cls, size: int) -> list[int]:
+        return sorted(cls._flips(size))
+
     def reach(self, blocks: int | None = None) -> float:
         """How many anchors a value is replicated to, on average."""
         have = [1.0] + [0.0] * self.threshold
@@ -183,34 +230,21 @@ def _part(x: np.ndarray, at: int, cover: Cover) -> np.ndarray:
     return (x >> _U(at)) & _U((1 << sum(cover.sizes)) - 1)
 
 
-def link_group(fp: np.ndarray, home: np.ndarray, threshold: int, second: np.ndarray | None = None, size: np.ndarray | None = None, both: int = 128, ratio: float = 0.0) -> list[tuple[int, int]]:
+def link_group(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Edges that join what is linked in one anchor's group: at most one per member.
 
     Homes are compared with all members in blocks; a home is joined once to
-    each set it is not yet in, by that set's nearest member. With ``second``
-    (fingerprints) the distances of both together are at most ``both``, and
-    with ``size`` the smaller size is at least ``ratio`` of the larger; members
-    are in order of size then.
+    each set it is not yet in, by that set's nearest member.
     """
     label = np.arange(len(fp))
     edges, mine = [], np.flatnonzero(home)
     block = max(1, min(256, (1 << 20) // max(1, len(fp))))
     for lo in range(0, len(mine), block):
         some = mine[lo : lo + block]
-        a, b = 0, len(fp)
-        if size is not None:
-            a, b = np.searchsorted(size, ratio * size[some[0]], "left"), np.searchsorted(size, size[some[-1]] / ratio + 1e-9, "right")
-        apart = np.bitwise_count(fp[some][:, None] ^ fp[None, a:b])
-        which, other = np.nonzero(apart <= threshold)
-        far = apart[which, other].astype(np.int64)
-        i, j = some[which], other + a
-        fits = i != j
-        if second is not None:
-            far += np.bitwise_count(second[i] ^ second[j])
-            fits &= far <= both
-        if size is not None:
-            fits &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-        i, j, far = i[fits], j[fits], far[fits]
+        apart = np.bitwise_count(fp[some][:, None] ^ fp[None, :])
+        which, j = np.nonzero(apart <= threshold)
+        far = apart[which, j].astype(np.int64)
+        i = some[which]
         new = label[i] != label[j]
         i, j, far = i[new], j[new], far[new]
         order = np.lexsort((far, i))
@@ -222,6 +256,34 @@ def link_group(fp: np.ndarray, home: np.ndarray, threshold: int, second: np.ndar
     return edges
 
 
+def link_ordered(fp: np.ndarray, home: np.ndarray, second: np.ndarray, size: np.ndarray, threshold: int, both: int, ratio: float) -> list[tuple[int, int]]:
+    """As ``link_group``, for members in order of size; a home is compared with later members only.
+
+    The distances of both fingerprints together are at most ``both``, and the
+    smaller size is at least ``ratio`` of the larger.
+    """
+    edges, mine = [], np.flatnonzero(home)
+    last = np.searchsorted(size, size[mine] / ratio + 1e-9, "right")
+    label, lo = None, 0
+    while lo < len(mine):
+        hi = lo + max(1, min(256, (1 << 17) // max(1, int(last[lo] - mine[lo]))))
+        some, a, b = mine[lo:hi], int(mine[lo]) + 1, int(last[min(hi, len(mine)) - 1])
+        lo = hi
+        if a >= b:
+            continue
+        apart = np.bitwise_count(fp[some][:, None] ^ fp[None, a:b])
+        at = np.flatnonzero(apart <= threshold)
+        i, j = some[at // (b - a)], at % (b - a) + a
+        fits = (i < j) & (apart.ravel()[at] + np.bitwise_count(second[i] ^ second[j]) <= both) & (size[i] >= ratio * size[j])
+        for u, v in zip(i[fits].tolist(), j[fits].tolist()):
+            label = np.arange(len(fp)) if label is None else label
+            x, y = int(label[u]), int(label[v])
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                edges.append((u, v))
+    return edges
+
+
 #: What travels of a fingerprint: itself, a second one, a size.
 _ITEM = np.dtype([("fp", "<u8"), ("second", "<u8"), ("size", "<u4")])
 
@@ -234,22 +296,21 @@ def node(fp: np.ndarray, second: np.ndarray) -> np.ndarray:
 def links(fps: DataFrame, threshold: int, both: int | None = None, ratio: float = 0.0) -> DataFrame:
     """Edges u, v between distinct fingerprints, enough to join all that are linked.
 
-    ``fps`` has fp, and with ``both`` also second and size (see link_group);
-    u and v are fingerprints then given by ``node``. A cell that many
-    fingerprints share is split: its homes and its others are dealt over rows
-    and columns, and every pair of them is a cell of its own.
+    ``fps`` has fp, and with ``both`` also second and size (see
+    ``sized_links``). A cell that many fingerprints share is split: its homes
+    and its others are dealt over rows and columns, and every pair of them is a
+    cell of its own.
     """
+    if both is not None:
+        return sized_links(fps, threshold, both, ratio)
     n = fps.count()
-    wide = both is not None
-    starts, covers, blocks = choose_cover(n, threshold, 0.004 if wide else 0.02)
-    kind = _ITEM if wide else np.dtype([("fp", "<u8")])
-    fps = fps.select("fp", "second", "size") if wide else fps.select("fp")
+    starts, covers, blocks = choose_cover(n, threshold)
+    kind = np.dtype([("fp", "<u8")])
+    fps = fps.select("fp")
 
     def items(b: pa.RecordBatch) -> np.ndarray:
         x = np.zeros(b.num_rows, kind)
         x["fp"] = b.column(0).to_numpy().view(np.uint64)
-        if wide:
-            x["second"], x["size"] = b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
         return x
 
     def cells(x: np.ndarray):
@@ -305,18 +366,23 @@ def links(fps: DataFrame, threshold: int, both: int | None = None, ratio: float
         use = np.where(flips == 0, roles[row] > 0, roles[row] & 2 > 0)
         home = (flips == 0) & (roles[row] & 1 > 0)
         row, anchor, home = row[use], anchor[use], home[use]
-        order = np.lexsort((x["size"][row], anchor)) if wide else np.argsort(anchor, kind="stable")
+        order = np.argsort(anchor, kind="stable")
         row, anchor, home = row[order], anchor[order], home[order]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]))
         some = np.concatenate(([0], np.cumsum(home)))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if hi - lo < 2 or some[hi] == some[lo]:
                 continue
-            r = row[lo:hi]
-            g = x[r]
-            e = link_group(g["fp"].copy(), home[lo:hi], threshold, *((g["second"].copy(), g["size"].astype(float), both, ratio) if wide else ()))
+            g = x["fp"][row[lo:hi]]
+            e = link_group(g, home[lo:hi], threshold)
             if e:
-                yield [node(g["fp"][k], g["second"][k] if wide else None) for k in np.array(e).T]
+                yield [node(g[k], None) for k in np.array(e).T]
+
+    return laid.mapInArrow(by_cell(solve), "u long, v long")
+
+
+def by_cell(solve):
+    """Gathers the rows (part, cell, salt, roles, data) of each cell, in order, for ``solve``; its edges as batches."""
 
     def run(batches):
         held: list[tuple[int, bytes]] = []
@@ -336,7 +402,68 @@ def links(fps: DataFrame, threshold: int, both: int | None = None, ratio: float
         if held:
             yield from flush()
 
-    return laid.mapInArrow(run, "u long, v long")
+    return run
+
+
+def sized_links(fps: DataFrame, threshold: int, both: int, ratio: float) -> DataFrame:
+    """Edges u, v (see ``node``) that join all that are linked by two fingerprints and sizes (see ``link_ordered``).
+
+    ``fps`` has fp, second and size. They are cut into slices in order of size
+    (of a hash, where sizes agree), so that a slice has a bounded number; pairs
+    of slices whose sizes allow a link are gone through by cells. Of a pair of
+    fingerprints only the first in that order is looked for at home, so the
+    lower slice of a pair sends each row to one cell of each part.
+    """
+    n = fps.count()
+    starts, covers, _ = choose_cover(min(n, 2 * SLICE * CELL), threshold, COMPARE)
+    place = F.col("size") + F.pmod(F.xxhash64("fp", "second"), F.lit(1 << 20)) / (1 << 20)
+    fps = fps.select("fp", "second", "size", place.alias("place"))
+    k = max(1, -(-n // (SLICE * CELL)))
+    cuts = np.array(fps.agg(F.percentile_approx("place", [i / k for i in range(1, k)], F.lit(10_000 + 100 * k))).first()[0]) if k > 1 else np.zeros(0)
+    low, high = np.floor([0.0, *cuts]), np.floor([*cuts, np.inf])
+    pairs = [(s, t) for s in range(k) for t in range(s, k) if s == t or low[t] * ratio <= high[s]]
+    # 1: homes, 2: others, 3: both
+    goes = [[(s * k + t, 3 if s == t else 1 if s == own else 2) for s, t in pairs if own in (s, t)] for own in range(k)]
+    copies = sum(1 / k if role == 1 else c.reach(1) / k for c in covers for some in goes for _, role in some)
+    blocks = int(copies * _ITEM.itemsize <= TRAVEL)
+
+    def dealt(batches):
+        for b in batches:
+            x = np.zeros(b.num_rows, _ITEM)
+            x["fp"], x["second"], x["size"] = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            own = np.searchsorted(cuts, b.column(3).to_numpy(), "right")
+            out = []
+            for part, (at, cover) in enumerate(zip(starts, covers)):
+                row, prefix, used = cover.anchors(_part(x["fp"], at, cover), blocks)
+                for cell in np.unique(prefix):
+                    mine = prefix == cell
+                    for s in np.unique(own[row[mine]]).tolist():
+                        some = mine & (own[row] == s)
+                        for salt, role in goes[s]:
+                            data = x[row[some & (used == 0)] if role == 1 else row[some]]
+                            if len(data):
+                                out.append((part, int(cell), salt, role, data.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["part", "cell", "salt", "roles", "data"])
+
+    spread = 3 * len(pairs) * sum(c.count(blocks) for c in covers)
+    least = shuffle_count(fps.sparkSession)
+    laid = fps.mapInArrow(dealt, "part int, cell long, salt int, roles int, data binary").repartition(max(least, min(spread, n // 64, 1 << 14)), "part", "cell", "salt").sortWithinPartitions("part", "cell", "salt")
+
+    def solve(part: int, cell: int, held: list[tuple[int, bytes]]):
+        x = np.concatenate([np.frombuffer(d, _ITEM) for _, d in held])
+        roles = np.concatenate([np.full(len(d) // _ITEM.itemsize, r, np.int8) for r, d in held])
+        order = np.argsort(x["size"], kind="stable")
+        order = np.lexsort((roles, x["size"]))  # rows of the lower slice come first where sizes agree
+        fp, second, size, roles = x["fp"][order], x["second"][order], x["size"][order], roles[order]
+        del x, held[:]
+        cover = covers[part]
+        for row, home in cover.groups(_part(fp, starts[part], cover), roles & 1 > 0, roles & 2 > 0, blocks, cell):
+            e = link_ordered(fp[row], home, second[row], size[row].astype(float), threshold, both, ratio)
+            if e:
+                yield [node(fp[row[i]], second[row[i]]) for i in np.array(e).T]
+
+    return laid.mapInArrow(by_cell(solve), "u long, v long")
 
 
 def measured(docs: DataFrame, shingle: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -111,6 +112,23 @@ def test_links_hold_all_pairs(spark, monkeypatch, cell):
     assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in near} and groups(got, names) == groups(near, names)
 
 
+def test_copies_for_a_wide_radius_stay_bounded(spark, monkeypatch):
+    """With the cover of three million fingerprints, each one travels in 3000 bytes at most (973 copies of 20 before)."""
+    choose, n = simhash.choose_cover, 20_000
+    monkeypatch.setattr(simhash, "choose_cover", lambda _, *more: choose(3_000_000, *more))
+    r = np.random.default_rng(8)
+    fp, second = (r.integers(-(1 << 63), 1 << 63, n).tolist() for _ in range(2))
+    fp[1], second[1] = fp[0] ^ 0b10110111, second[0] ^ 0b1001
+    df = spark.createDataFrame([(a, b, 60) for a, b in zip(fp, second)], "fp long, second long, size long").repartition(3).persist()
+    df.count()
+    folders = [Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    written = lambda: sum(x.stat().st_size for top in folders for x in top.rglob("shuffle_*.data"))
+    before = written()
+    got = {tuple(sorted(x)) for x in simhash.links(df, 14, 30, 0.8).collect()}
+    assert written() - before <= 3000 * n
+    assert tuple(sorted(simhash.node(np.array(fp[:2]).view(np.uint64), np.array(second[:2]).view(np.uint64)).tolist())) in got
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(50)]
