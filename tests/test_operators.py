@@ -333,3 +333,15 @@ def test_planted_regimes(spark):
     got = inference.plant_regime(df, "ret", "regime", ["up"], 0.8, keys=("symbol",)).toPandas()
     corr = got.groupby("regime")[["signal", "ret"]].apply(lambda g: g.signal.corr(g.ret))
     assert corr["up"] > 0.7 and abs(corr["down"]) < 0.08
+
+
+def test_candidates_of_few_families_are_made_in_many_tasks(spark):
+    """Three families, each table in one partition: rows are spread, and are those of a plain product."""
+    h = spark.createDataFrame([(f"h{i}", f"f{i % 3}") for i in range(400)], "hypothesis_id string, family string").coalesce(1)
+    i = spark.createDataFrame([(f"f{k % 3}", f"i{k}") for k in range(9)], "family string, indicator string").coalesce(1)
+    s = spark.createDataFrame([("a",), ("b",)], "symbol string").coalesce(1)
+    got = search.cross_candidates(h, s, i).withColumn("task", F.spark_partition_id()).collect()
+    want = {(f"h{a}", x, f"i{b}", v) for a in range(400) for b in range(9) if a % 3 == b % 3 for x in "ab" for v in ("base", "inverse", "low_turnover")}
+    assert len(got) == len(want) and {(x.hypothesis_id, x.symbol, x.indicator, x.variant) for x in got} == want
+    tasks = [x.task for x in got]
+    assert len(set(tasks)) >= 12 and max(tasks.count(k) for k in set(tasks)) <= len(got) / 5
