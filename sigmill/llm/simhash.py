@@ -256,15 +256,24 @@ def link_group(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[i
     return edges
 
 
-def link_ordered(fp: np.ndarray, home: np.ndarray, second: np.ndarray, size: np.ndarray, threshold: int, both: int, ratio: float) -> list[tuple[int, int]]:
+def link_ordered(row: np.ndarray, fp: np.ndarray, home: np.ndarray, second: np.ndarray, size: np.ndarray, threshold: int, both: int, ratio: float, up: np.ndarray) -> list[tuple[int, int]]:
     """As ``link_group``, for members in order of size; a home is compared with later members only.
 
     The distances of both fingerprints together are at most ``both``, and the
-    smaller size is at least ``ratio`` of the larger.
+    smaller size is at least ``ratio`` of the larger. ``row`` numbers the
+    members in ``up``, the sets of rows joined so far (each row's parent),
+    which goes on from group to group, and in the edges.
     """
+
+    def root(x: int) -> int:
+        while (y := up.item(x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
     edges, mine = [], np.flatnonzero(home)
     last = np.searchsorted(size, size[mine] / ratio + 1e-9, "right")
-    label, lo = None, 0
+    lo = 0
     while lo < len(mine):
         hi = lo + max(1, min(256, (1 << 17) // max(1, int(last[lo] - mine[lo]))))
         some, a, b = mine[lo:hi], int(mine[lo]) + 1, int(last[min(hi, len(mine)) - 1])
@@ -274,12 +283,11 @@ def link_ordered(fp: np.ndarray, home: np.ndarray, second: np.ndarray, size: np.
         apart = np.bitwise_count(fp[some][:, None] ^ fp[None, a:b])
         at = np.flatnonzero(apart <= threshold)
         i, j = some[at // (b - a)], at % (b - a) + a
-        fits = (i < j) & (apart.ravel()[at] + np.bitwise_count(second[i] ^ second[j]) <= both) & (size[i] >= ratio * size[j])
-        for u, v in zip(i[fits].tolist(), j[fits].tolist()):
-            label = np.arange(len(fp)) if label is None else label
-            x, y = int(label[u]), int(label[v])
+        fits = (i < j) & (up[row[i]] != up[row[j]]) & (apart.ravel()[at] + np.bitwise_count(second[i] ^ second[j]) <= both) & (size[i] >= ratio * size[j])
+        for u, v in zip(row[i[fits]].tolist(), row[j[fits]].tolist()):
+            x, y = root(u), root(v)
             if x != y:
-                label[label == max(x, y)] = min(x, y)
+                up[max(x, y)] = min(x, y)
                 edges.append((u, v))
     return edges
 
@@ -458,10 +466,11 @@ def sized_links(fps: DataFrame, threshold: int, both: int, ratio: float) -> Data
         fp, second, size, roles = x["fp"][order], x["second"][order], x["size"][order], roles[order]
         del x, held[:]
         cover = covers[part]
+        up = np.arange(len(fp), dtype=np.int32)
         for row, home in cover.groups(_part(fp, starts[part], cover), roles & 1 > 0, roles & 2 > 0, blocks, cell):
-            e = link_ordered(fp[row], home, second[row], size[row].astype(float), threshold, both, ratio)
+            e = link_ordered(row, fp[row], home, second[row], size[row].astype(float), threshold, both, ratio, up)
             if e:
-                yield [node(fp[row[i]], second[row[i]]) for i in np.array(e).T]
+                yield [node(fp[k], second[k]) for k in np.array(e).T]
 
     return laid.mapInArrow(by_cell(solve), "u long, v long")
 
