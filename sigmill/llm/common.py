@@ -114,5 +114,45 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
     return marked.where(found).select("_all.*"), marked.where(~found).select("_all.*")
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float], most: int = 1 << 14, bins: int = 1 << 12) -> list[float] | None:
+    """Exact quantiles (linear between neighbours) of a double column, nulls aside; None without values.
+
+    Ranges around a rank are counted in ever finer bins until at most ``most``
+    values, or equal ones, are left; only these come to the driver.
+    """
+    df = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    ends = lambda: (F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    whole = df.agg(*ends()).first()
+    if not whole["n"]:
+        return None
+
+    def near(rank: int) -> tuple[float, float]:
+        """The values at ``rank`` (from 0) and the next rank; the same if there is none."""
+        r, before, after = whole, 0, None
+        while r["n"] > most and r["low"] < r["high"] and (width := (r["high"] - r["low"]) / bins) > 0:
+            at = F.least(F.floor((F.col("x") - r["low"]) / width), F.lit(bins - 1))
+            for x in sorted(df.where(F.col("x").between(r["low"], r["high"])).groupBy(at.alias("at")).agg(*ends()).collect(), key=lambda x: x["low"]):
+                if before + x["n"] > rank:
+                    break
+                before += x["n"]
+            r = x
+        if r["low"] == r["high"]:
+            values = [r["low"]] * r["n"]
+        else:
+            values = sorted(x["x"] for x in df.where(F.col("x").between(r["low"], r["high"])).collect())
+        if rank + 1 - before < len(values):
+            after = values[rank + 1 - before]
+        elif rank + 1 < whole["n"]:
+            after = df.where(F.col("x") > r["high"]).agg(F.min("x")).first()[0]
+        return values[rank - before], values[rank - before] if after is None else after
+
+    out = []
+    for share in shares:
+        at = min(1.0, max(0.0, share)) * (whole["n"] - 1)
+        a, b = near(int(at))
+        out.append((1 - (at - int(at))) * a + (at - int(at)) * b)
+    return out
+
+
 def shuffle_count(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

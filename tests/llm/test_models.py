@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmill.llm import quality_rules, ranking, topk, toxicity
+from sigmill.llm import common, quality_rules, ranking, topk, toxicity
 from sigmill.llm.features import NAMES, dense
 
 from . import brute
@@ -124,6 +124,25 @@ def test_scores_are_the_optimum_over_the_pairs():
     assert np.allclose(model.score(x) >= 0.7, s >= model.middle)
 
 
+def test_all_trusted_texts_count(spark):
+    """20,200 labelled texts, of which the first 20,000 by hash share one word, and the others have another."""
+    ids = [x.id for x in spark.range(20_200).orderBy(F.xxhash64(F.lit(5), "id"), "id").collect()]
+    text = lambda i: "common" if i < 20_000 else "late"
+    docs = spark.createDataFrame([(k, text(i)) for i, k in enumerate(ids)] + [(-1, "never")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in ids], "doc_id long, quality int")
+    got = {x.doc_id: x.score for x in quality_rules.judge(docs, labels).where(f"doc_id in (-1, {ids[0]}, {ids[-1]})").collect()}
+    assert got[ids[0]] > got[ids[-1]] > got[-1] and abs(got[ids[-1]] - got[ids[0]]) < 0.5
+
+
+def test_quantiles_by_ranges(spark):
+    r = np.random.default_rng(1)
+    for x in (r.normal(size=3000), np.round(r.normal(size=3000), 1), np.array([2.0]), np.append(r.normal(size=500) * 1e-9, 1e12)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        shares = [0.0, 0.013, 0.5, 0.977, 1.0]
+        assert np.allclose(common.quantiles(df, "x", shares, most=5, bins=16), np.quantile(x, shares), rtol=1e-12)
+        assert common.quantiles(df.where("x is null"), "x", shares) is None
+
+
 def test_quality_rules(spark):
     rows = corpus(3, 250)
     docs, labels = frames(spark, rows, 150)
