@@ -124,6 +124,23 @@ def test_scores_are_the_optimum_over_the_pairs():
     assert np.allclose(model.score(x) >= 0.7, s >= model.middle)
 
 
+def test_all_labels_and_all_their_pairs_count(spark):
+    """Derivatives of range sums against all pairs laid out; 8,100 labels of which the last 100 alone tell more."""
+    r = np.random.default_rng(6)
+    z, w = r.normal(size=(90, len(NAMES))), r.normal(size=len(NAMES)) / 2
+    good, bad = z[:40], z[40:]
+    d = (good[:, None] - bad[None]).reshape(-1, len(NAMES))
+    p = 1 / (1 + np.exp(-d @ w))
+    g, h = ranking.all_pairs(*(ranking.range_sums(x, x @ w)[1] for x in (good, bad)), w)
+    assert np.allclose(g, d.T @ (p - 1) / len(d), atol=1e-4) and np.allclose(h, (d * (p * (1 - p))[:, None]).T @ d / len(d), atol=1e-4)
+    ids = [x.id for x in spark.range(8100).orderBy(F.xxhash64(F.lit(9), "id"), "id").collect()]
+    rows = [(k, "good words. and more" if i % 2 else "bad 12 %% words ", i % 2) for i, k in enumerate(ids[:8000])] + [(k, "odd! odd! odd! odd!", 0) for k in ids[8000:]]
+    docs, labels = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    model = ranking.train(docs, labels, cut=0.7)
+    assert model.scale.mean[NAMES.index("exclaim")] == pytest.approx(100 / 8100)
+    assert model.score(np.array([dense("odd! odd! odd! odd!")]))[0] < 0.7 < model.score(np.array([dense("good words. and more")]))[0]
+
+
 def test_all_trusted_texts_count(spark):
     """20,200 labelled texts, of which the first 20,000 by hash share one word, and the others have another."""
     ids = [x.id for x in spark.range(20_200).orderBy(F.xxhash64(F.lit(5), "id"), "id").collect()]
