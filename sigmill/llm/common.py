@@ -15,12 +15,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that hold at least this share of all rows are "hot"; there are at most
 #: 1 / HOT_SHARE of them, which bounds the table that is broadcast for them.
 HOT_SHARE = 1 / 1024
+#: Bytes of a batch of rows that goes to a Python worker, about.
+BATCH = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python workers end at ``BATCH`` bytes in this session; a lower bound stays.
+
+    Spark's own bound is 64 MB or 10,000 rows. A batch lies in the executor's
+    memory outside its heap, in the worker as Arrow data and once more as
+    Python strings, for each task that runs. What workers return is the same.
+    """
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

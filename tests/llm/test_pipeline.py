@@ -1,5 +1,9 @@
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sigmill.llm.common import materialize
+from sigmill.llm.common import BATCH, materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +43,19 @@ def test_columns_of_any_name(spark):
         assert docs.columns == columns
         assert docs.where("`a.b` is distinct from doc_id * 2 or _key is distinct from doc_id * 2 or `row` is distinct from doc_id * 2").count() == 0
     assert docs.count() > 0 and corpus_pipeline.pack(spark, docs, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES if n != "mixing"])
+def test_batches_are_bounded_in_bytes(spark, name):
+    """Long texts must not fill batches of 10,000 rows or 64 MB; a lower bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(0, 1500, 1, 1).select(F.expr("repeat('some words ', 2000)").alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    try:
+        for before, most in ((64 << 20, 2 * BATCH), (1 << 18, 1 << 19)):
+            spark.conf.set(key, before)
+            dict(corpus_pipeline.STAGES)[name](spark, corpus_pipeline.documents(spark, SF).limit(0), SF)
+            got = long.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(x.n for x in got) == 1500 and max(x.size for x in got) <= most
+    finally:
+        spark.conf.unset(key)
