@@ -128,6 +128,57 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
     return marked.where(found).select("_all.*"), marked.where(~found).select("_all.*")
 
 
+def marked_members(rows: DataFrame, keys: DataFrame, key: str, result: str, few: int = 1 << 16, bits: int = 27) -> DataFrame:
+    """``rows`` and a boolean ``result``: whether ``key`` is among ``keys`` (distinct, not null), without moving rows.
+
+    A bitmap of hashed keys (at most 2^``bits`` bits) is right but for the keys
+    of ``rows`` that it takes in wrongly. These are found by a join of keys
+    alone, and a second bitmap tells them apart but for some of ``keys``, and
+    so on; each set is found in the one before it but one. At most ``few`` keys
+    left are broadcast as they are. Where bitmaps are too full for sets to
+    shrink, the last set is joined as Spark chooses. Exact either way; a null
+    key is in no set.
+    """
+    here = rows.schema[key].dataType
+    inside = materialize(keys.select(F.col(key).cast(here).alias("_k")), "members-keys")
+    outside, sets, n = None, [inside], inside.count()
+    maps: list[DataFrame] = []
+
+    def place(column: str, level: int, size: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(level), column), F.lit(1 << size)) + 1
+
+    def hit(df: DataFrame, column: str, level: int, size: int) -> DataFrame:
+        """``df`` with _hit: whether the bitmap of a level takes ``column`` in."""
+        at = place(column, level, size)
+        df = df.withColumns({"_bucket": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)}).join(F.broadcast(maps[level]), "_bucket", "left")
+        byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        found = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.pmod("_bit", F.lit(8)))).cast("int") % 2 == 1, F.lit(False))
+        return df.withColumn("_hit", found).drop("_bucket", "_bit", "_map")
+
+    sizes: list[int] = []
+    while n > few and len(sizes) < 8:
+        level, last = len(sizes), sets[-1]
+        sizes.append(min(bits, max(15, int(64 * n).bit_length())))
+        at = place("_k", level, sizes[-1])
+        maps.append(materialize(last.select(at.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map")), "members-map"))
+        if level == 0:
+            outside = rows.select(F.col(f"`{key}`").alias("_k")).where("_k is not null")
+            wrong = hit(outside, "_k", 0, sizes[0]).where("_hit").select("_k").distinct().join(inside, "_k", "left_anti")
+        else:
+            wrong = hit(sets[-2], "_k", level, sizes[-1]).where("_hit").select("_k")
+        sets.append(materialize(wrong, "members-wrong"))
+        n = sets[-1].count()
+    out = rows.withColumn("_k", F.col(f"`{key}`"))
+    for level, size in enumerate(sizes):
+        out = hit(out, "_k", level, size).withColumnRenamed("_hit", f"_hit{level}")
+    rest = sets[-1].withColumn("_last", F.lit(True))
+    out = out.join(F.broadcast(rest) if n <= few else rest, "_k", "left")
+    answer = F.col("_last").isNotNull()
+    for level in reversed(range(len(sizes))):  # in a set: its bitmap takes it in, and it is not in the set of wrong ones
+        answer = F.col(f"_hit{level}") & ~answer
+    return out.withColumn(result, answer).select(*[F.col(f"`{c}`") for c in rows.columns], result)
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float], most: int = 1 << 14, bins: int = 1 << 12) -> list[float] | None:
     """Exact quantiles (linear between neighbours) of a double column, nulls aside; None without values.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, quantiles, split_by_keys
+from .common import WORD, documents, marked_members, materialize, quantiles
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Up to so many repeated windows are looked up one by one; for more, windows
@@ -79,13 +79,13 @@ def grams(df: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     return each.select(*keep, F.when(F.col("x").isNotNull(), b("x")).alias("b1"), F.when(F.col("y").isNotNull(), b("x", "y")).alias("b2"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smooth: float) -> DataFrame:
+def log_ratios(docs: DataFrame, buckets: int, smooth: float) -> DataFrame:
     """ln(target / raw) of every bucket as one array, in one row.
 
-    Raw counts are over all of ``docs``, those of the target over the texts of ``trusted``.
+    Raw counts are over all of ``docs``, those of the target over rows where its column target is true.
     """
-    each = lambda df, t: grams(df.select(words().alias("_w")), [], buckets).select(F.explode(F.array("b1", "b2")).alias("b")).where("b is not null").groupBy("b").agg(F.count(F.lit(1)).alias("k")).select("b", (F.col("k") * (1 - t)).alias("n"), (F.col("k") * t).alias("t"))
-    counts = each(docs, 0).unionByName(each(trusted, 1)).groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    each = grams(docs.select(F.col("target").cast("long").alias("_t"), words().alias("_w")), ["_t"], buckets).select("_t", F.explode(F.array("b1", "b2")).alias("b")).where("b is not null")
+    counts = each.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("_t").alias("t"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0)
     totals = full.agg(F.sum("n").alias("_n"), F.sum("t").alias("_t"), F.collect_list(F.struct("b", "n", "t")).alias("_all"))
     share = lambda x, total: (x + F.lit(smooth)) / (F.col(total) + F.lit(smooth * buckets))
@@ -126,15 +126,14 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, smooth:
     good = labels.where("quality = 1 and doc_id is not null").groupBy("doc_id").agg(F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     if trusted is not None:
         good = good.orderBy("h", "doc_id").limit(trusted)
-    good = materialize(good.select("doc_id", (F.pmod("h", F.lit(4)) == 0).alias("aside")), "rules-trusted")
-    known = materialize(split_by_keys(docs, good, "doc_id")[0].join(good, "doc_id").select("text", "aside"), "rules-known")
-    ratios = materialize(log_ratios(docs, known.where("not aside"), buckets, smooth), "rules-ratios").scalar()
-    aside = known.where("aside").withColumn("_row", F.monotonically_increasing_id())
-    aside = materialize(scored(aside.select("_row", words().alias("_w")), [], ratios, buckets).select("score"), "rules-aside")
-    least = F.lit((quantiles(aside, "score", [lost]) or [0.0])[0])
-    base = base_counts(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # texts stay where they are: rows are marked, and only counts and scores move
+    docs = marked_members(docs, good, "doc_id", "_good").withColumn("aside", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(4)) == 0)
+    marked = docs.select("doc_id", "text", (F.col("_good") & ~F.col("aside")).alias("target"), (F.col("_good") & F.col("aside")).alias("aside"))
+    ratios = materialize(log_ratios(marked, buckets, smooth), "rules-ratios").scalar()
+    base = base_counts(marked.withColumn("_row", F.monotonically_increasing_id()))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = scored(base, ["doc_id", *counts], ratios, buckets)
+    out = materialize(scored(base, ["doc_id", "aside", *counts], ratios, buckets), "rules-scores")
+    least = F.lit((quantiles(out.where("aside"), "score", [lost]) or [0.0])[0])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("score") >= least, F.lit(False))).alias("kept"), "score")

@@ -26,3 +26,15 @@ def test_scratch_folder(spark):
     common.discard(df)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE"):
         spark.read.parquet(df._scratch).count()
+
+
+@pytest.mark.parametrize("few,bits", [(1 << 16, 27), (0, 27), (20, 12), (0, 4)])
+def test_marked_members(spark, few, bits):
+    """Exact with one broadcast, with many levels, and where bitmaps are too full to tell anything."""
+    rows = spark.range(4000).select((F.col("id") % 3000).alias("key"), F.lit("x").alias("a.b")).unionByName(spark.createDataFrame([(None, "x")], "key long, `a.b` string"))
+    keys = spark.range(0, 6000, 3).select(F.col("id").alias("key"))
+    got = common.marked_members(rows, keys, "key", "_in", few=few, bits=bits)
+    assert got.columns == ["key", "a.b", "_in"]
+    got = got.collect()
+    assert len(got) == 4001 and all(x["_in"] is (x.key is not None and x.key % 3 == 0) for x in got)
+    assert not any(x["_in"] for x in common.marked_members(rows, keys.limit(0), "key", "_in", few=few, bits=bits).collect())

@@ -263,3 +263,16 @@ def test_top_k_of_few_and_none(spark):
     assert topk.search(df.where("vec_id < 0")).count() == 0
     same = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(120)], "vec_id long, embedding array<float>")
     assert [x.vec_id for x in topk.search(same).where("query_id = 50").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_quality_rules_moves_no_texts(spark):
+    """Labelled texts are learned from where they lie; what is shuffled or kept between is far below their size."""
+    import os
+
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 300), i -> md5(string(id * 1000 + i))), ' ')").alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    base = common.scratch_dir(spark).removeprefix("file://")
+    sizes = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, some in os.walk(base) for f in some)
+    before = sizes()
+    got = quality_rules.judge(docs, labels)
+    assert got.count() == 400 and sizes() - before < 400 * 300 * 33 / 4
