@@ -345,3 +345,28 @@ def test_candidates_of_few_families_are_made_in_many_tasks(spark):
     assert len(got) == len(want) and {(x.hypothesis_id, x.symbol, x.indicator, x.variant) for x in got} == want
     tasks = [x.task for x in got]
     assert len(set(tasks)) >= 12 and max(tasks.count(k) for k in set(tasks)) <= len(got) / 5
+
+
+def test_candidates_hold_each_indicator_once(spark):
+    """What goes to executors or through a shuffle is as many rows as the tables have, whatever the number of tasks."""
+    h = spark.createDataFrame([(f"h{i}", f"f{i % 3}") for i in range(60)], "hypothesis_id string, family string")
+    i = spark.createDataFrame([(f"f{k % 3}", f"i{k}") for k in range(90)], "family string, indicator string")
+    s = spark.createDataFrame([("a",), ("b",)], "symbol string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for most in (kept["spark.sql.autoBroadcastJoinThreshold"], "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            df = search.cross_candidates(h, s, i)
+            assert len(df.collect()) == 60 * 30 * 2 * 3
+            moved, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+            while nodes:
+                x = nodes.pop()
+                nodes += [x.children().apply(k) for k in range(x.children().size())]
+                if "Exchange" in x.nodeName():
+                    rows = x.metrics().get("numOutputRows" if "Broadcast" in x.nodeName() else "shuffleRecordsWritten")
+                    moved += rows.get().value()
+            assert 0 < moved <= 60 + 90 + 2
+    finally:
+        for k, x in kept.items():
+            spark.conf.set(k, x)
